@@ -86,6 +86,11 @@ class Spans:
         return mix(self.raw(start, end) ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
+def extend(polynomial: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The polynomial of a span (see Spans.raw) with one more code point before it."""
+    return polynomial * _B + before.astype(U) + U(0x51ED27)
+
+
 def power(n: int) -> np.ndarray:
     return _power(n)[0]
 
