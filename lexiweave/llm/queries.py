@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe",)
+MODULES = ("bpe", "licenses", "fingerprints", "unigram", "quality", "url_filter")
 
 
 def _all(what: str) -> dict:
