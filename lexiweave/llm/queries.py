@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "licenses", "fingerprints", "unigram", "quality", "url_filter")
+MODULES = ("bpe", "licenses", "fingerprints", "unigram", "quality", "url_filter", "line_dedup")
 
 
 def _all(what: str) -> dict:
