@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "licenses", "fingerprints", "unigram", "quality", "url_filter", "line_dedup", "ngram_join")
+MODULES = ("bpe", "licenses", "fingerprints", "unigram", "quality", "url_filter", "line_dedup", "ngram_join", "packing")
 
 
 def _all(what: str) -> dict:
