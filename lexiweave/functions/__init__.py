@@ -1 +1 @@
-"""Text vectorisation and classification on Spark."""
+"""Part of lexiweave: text vectorisation and classification on Spark."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.llm import _text as tx
-from lexiweave.llm._spark import table, written
+from lexiweave.llm._spark import BROADCAST_BYTES, table, written
 
 N = 3
 THRESHOLD = 0.6
@@ -21,8 +21,10 @@ BLOCK_ENTRIES = 3_000_000
 #: The most frequent n-grams that are known by frequency when n-grams are put in order; all others come first.
 FREQUENT = 400_000
 _SEEN = 4  # times that a task must meet an n-gram to report it
-#: Bytes of n-gram sets that are verified in one task.
-TILE_BYTES = 48 << 20
+#: Bytes of n-gram sets in one side of a tile that is multiplied whole.
+TILE_BYTES = 8 << 20
+#: Bands and rows of the min-hashes by which the likely pairs are put together before the product.
+BANDS, ROWS = 8, 4
 _C = [tx.U(0x9E3779B97F4A7C15), tx.U(0xC2B2AE3D27D4EB4F), tx.U(0x165667B19E3779F9), tx.U(0x27D4EB2F165667C5), tx.U(0x85EBCA77C2B2AE63)]
 
 
@@ -62,13 +64,23 @@ def signatures(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tx.mix((c[off[1:]] - c[off[:-1]]) ^ (np.diff(off).astype(tx.U) * _C[1]))
 
 
+def bands(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(documents, BANDS): hashes of ROWS min-hashes each; every set must have a member."""
+    out = np.zeros((len(off) - 1, BANDS), tx.U)
+    for b in range(BANDS):
+        for r in range(ROWS):
+            least = np.minimum.reduceat(tx.mix(g ^ tx.U((b * ROWS + r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), off[:-1])
+            out[:, b] = tx.mix(out[:, b] + least + tx.U(b))
+    return out
+
+
 def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
     """The overlap that a set needs with any other, at least."""
     return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
 
 def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, signature, size) of documents with words, and (null, n-gram, count) of n-grams met often."""
+    """Rows (doc_id, signature, size, bands) of documents with words, and (null, n-gram, count, null) of n-grams met often."""
     seen: list[np.ndarray] = []
     met: np.ndarray = np.zeros(0, tx.U)
     for whole in batches:
@@ -76,7 +88,10 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             g, off = gram_sets(*tx.codepoints(b.column(1)), n)
             sig, size = signatures(g, off), np.diff(off)
             some = np.flatnonzero(size)
-            yield _survey_rows(b.column(0).take(pa.array(some)), sig[some], size[some])
+            if not len(some):
+                continue
+            keys = bands(g, np.append(off[some], off[-1])).ravel().view(np.int64)
+            yield _survey_rows(b.column(0).take(pa.array(some)), sig[some], size[some], pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(keys)))
             # copies count once
             _, first = np.unique(sig[some], return_index=True)
             first = first[~np.isin(sig[some][first], met)]
@@ -95,8 +110,8 @@ def _often(seen: list[np.ndarray]) -> pa.RecordBatch:
     return _survey_rows(pa.nulls(int(often.sum()), pa.int64()), keys[often], n[often])
 
 
-def _survey_rows(ids: pa.Array, keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], names=["doc_id", "key", "n"])
+def _survey_rows(ids: pa.Array, keys: np.ndarray, count: np.ndarray, band: pa.Array | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(keys.view(np.int64)), pa.array(count, pa.int64()), pa.nulls(len(keys), pa.list_(pa.int64())) if band is None else band], names=["doc_id", "key", "n", "bands"])
 
 
 def _prefixes(g: np.ndarray, off: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +169,17 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, threshold: float, blocks
         yield flush()
 
 
-def _product(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """The block's product with its transpose: (a, b, sizes, shared) of all pairs of different sets of near size."""
+def _product(batches: Iterator[pa.RecordBatch], threshold: float, roots: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The block's product with its transpose: (a, b, sizes, shared) of all pairs of different sets of near size, but
+    for those of one group in `roots` (sorted signatures, their groups)."""
     for t in tx.groups(batches, "block"):
         blocks = t.column("block").to_numpy()
         at = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1))
         for i, j in zip(at, [*at[1:], len(blocks)]):
-            yield from _multiply(t.slice(i, j - i), threshold)
+            yield from _multiply(t.slice(i, j - i), threshold, roots)
 
 
-def _multiply(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+def _multiply(t: pa.Table, threshold: float, roots: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     parts: dict[str, list] = {"sigs": [], "sizes": [], "grams": [], "docs": []}
     base = 0
     for sigs, sizes, grams, docs in zip(*[t.column(c).to_pylist() for c in parts]):
@@ -179,6 +195,11 @@ def _multiply(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     place = np.empty(len(by), tx.U)
     place[by] = np.arange(len(by), dtype=tx.U)
     key, size = key[by], sizes[first][by].astype(np.int64)
+    group = np.arange(len(key), dtype=np.int64)  # apart from all groups
+    if len(roots[0]):
+        at = np.minimum(np.searchsorted(roots[0], key), len(roots[0]) - 1)
+        there = roots[0][at] == key
+        group = np.where(there, -1 - roots[1][at], group)
     entry = np.unique(grams.astype(tx.U) << tx.U(32) | place[which[docs]])
     col, row = entry >> tx.U(32), (entry & tx.U(0xFFFFFFFF)).astype(np.int64)
     low, pending, total = np.arange(len(col)), [], 0
@@ -198,7 +219,8 @@ def _multiply(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
         low = low[size[row[low]] >= threshold * size[row[low + k]] - 1e-9]
         if not len(low):
             break
-        for part in np.array_split(low, max(1, len(low) // 2_000_000)):
+        other = low[group[row[low]] != group[row[low + k]]]
+        for part in np.array_split(other, max(1, len(other) // 2_000_000)):
             pending.append((row[part].astype(tx.U) * n + row[part + k].astype(tx.U), np.ones(len(part), np.int32)))
             total += len(part)
             if total > 6_000_000:
@@ -269,7 +291,7 @@ def _bloom_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, grams) of the documents that the filter may want."""
+    """(rep, id, grams) of the documents that the filter may want."""
     for b in batches:
         ids = np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)).view(tx.U)
         b = b.filter(pa.array(_maybe(ids, wanted)))
@@ -279,31 +301,102 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iter
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sig.view(np.int64)), pa.array([g[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], names=["rep", "id", "grams"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles of rows (tile, id, grams) and (tile, id, partners): the exact overlap of each pair."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The product of the incidence matrix of some sets with its transpose, by blocks of columns."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, col, df = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = df[col] > 1  # an n-gram of one set adds nothing off the diagonal
+    _, col = np.unique(col[keep], return_inverse=True)
+    row = row[keep]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(64, (8 << 20) // max(1, len(sets)))
+    by = np.argsort(col, kind="stable")
+    col, row = col[by], row[by]
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, [c, c + width])
+        x = np.zeros((len(sets), min(width, int(col[-1]) + 1 - c)), np.float32)
+        x[row[i:j], col[i:j] - c] = 1
+        out += x @ x.T
+    np.fill_diagonal(out, size)
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, links: bool) -> Iterator[pa.RecordBatch]:
+    """Each tile holds the sets of one or two chunks of a component: the similar pairs of its documents, or, for links,
+    a star over each set of signatures that they connect. A tile of two chunks reports pairs across them only."""
     for t in tx.groups(batches, "tile"):
         tile = t.column("tile").to_numpy()
         at = np.flatnonzero(np.diff(tile, prepend=tile[0] - 1))
+        out: list[tuple[np.ndarray, ...]] = []
         for i, j in zip(at, [*at[1:], len(tile)]):
-            part = t.slice(i, j - i)
-            is_set = part.column("grams").is_valid()
-            sets = part.filter(is_set)
-            have = {k: np.frombuffer(v.as_py(), tx.U) for k, v in zip(sets.column("id").to_pylist(), sets.column("grams"))}
-            rows = part.filter(pa.compute.invert(is_set))
-            out: list[tuple[int, int, int, int, int]] = []
-            for a, bs in zip(rows.column("id").to_pylist(), rows.column("partners").to_pylist()):
-                x = have[a]
-                ys = [have[b] for b in bs]
-                lengths = np.fromiter(map(len, ys), np.int64, len(ys))
-                flat = np.concatenate(ys)
-                near = np.searchsorted(x, flat)
-                hit = np.zeros(len(flat) + 1, np.int64)
-                np.cumsum(x[np.minimum(near, len(x) - 1)] == flat, out=hit[1:])
-                end = np.cumsum(lengths)
-                out += zip([a] * len(bs), bs, [len(x)] * len(bs), lengths.tolist(), (hit[end] - hit[end - lengths]).tolist())
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "na", "nb", "overlap"])
+            p = t.slice(i, j - i)
+            ids, first = np.unique(p.column("id").to_numpy(), return_index=True)  # of rows that repeat a document, one
+            sets = [np.frombuffer(p.column("grams")[int(k)].as_py(), tx.U) for k in first]
+            chunk = p.column("chunk").to_numpy()[first]
+            o = overlaps(sets)
+            size = np.diag(o)
+            a, b = np.nonzero(np.triu(o >= threshold * (size[:, None] + size[None, :] - o) - 1e-6, 1))
+            if len(np.unique(chunk)) > 1:
+                across = chunk[a] != chunk[b]
+                a, b = a[across], b[across]
+            if not len(a):
+                continue
+            if links:
+                root = np.arange(len(ids))
+                while True:
+                    new = root.copy()
+                    np.minimum.at(new, a, root[b])
+                    np.minimum.at(new, b, root[a])
+                    new = new[new]
+                    if np.array_equal(new, root):
+                        break
+                    root = new
+                star = np.flatnonzero(root != np.arange(len(ids)))
+                out.append((ids[star], ids[root[star]]))
+                continue
+            docs = [np.asarray(p.column("docs")[int(k)].as_py(), np.int64) for k in first]
+            count = np.fromiter(map(len, docs), np.int64, len(docs))
+            begin, flat = np.cumsum(count) - count, np.concatenate(docs)
+            n = count[a] * count[b]
+            k = tx.ragged(np.zeros(len(a), np.int64), n)
+            wide = np.repeat(count[b], n)
+            x, y = flat[np.repeat(begin[a], n) + k // wide], flat[np.repeat(begin[b], n) + k % wide]
+            out.append((x, y, *[np.repeat(v.astype(np.int64), n) for v in (size[a], size[b], o[a, b])]))
+            if sum(len(c[0]) for c in out) > 500_000:
+                yield from _reported(out)
+                out = []
+        if out and links:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[k] for c in out]), pa.int64()) for k in range(2)], names=["a", "b"])
+        elif out:
+            yield from _reported(out)
+
+
+_PAIRS = "doc_a bigint, doc_b bigint, n_a bigint, n_b bigint, overlap bigint, jaccard double"
+
+
+def _reported(out: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    x, y, na, nb, o = (np.concatenate([c[k] for c in out]) for k in range(5))
+    flip = x > y
+    x, y, na, nb = np.where(flip, y, x), np.where(flip, x, y), np.where(flip, nb, na), np.where(flip, na, nb)
+    for i in range(0, len(x), 100_000):
+        c = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([*[pa.array(v[c], pa.int64()) for v in (x, y, na, nb, o)], pa.array(o[c] / (na + nb - o)[c])], names=["doc_a", "doc_b", "n_a", "n_b", "overlap", "jaccard"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of the documents of each set."""
+    for b in batches:
+        for size, docs in zip(b.column(0).to_pylist(), b.column(1)):
+            d = np.sort(docs.values.to_numpy())
+            step = max(1, 500_000 // len(d))
+            for i in range(0, len(d), step):
+                rows = np.arange(i, min(i + step, len(d)))
+                x = np.repeat(rows, len(d) - 1 - rows)
+                y = tx.ragged(rows + 1, len(d) - 1 - rows)
+                n = np.full(len(x), size, np.int64)
+                if len(x):
+                    yield from _reported([(d[x], d[y], n, n, n)])
 
 
 class Join:
@@ -314,55 +407,61 @@ class Join:
             raise ValueError("the threshold must be in (0, 1]")
         self.spark, self.threshold, self.n = docs.sparkSession, threshold, n
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-        survey = written(self.docs.mapInArrow(lambda it: _survey(it, n), "doc_id bigint, key bigint, n bigint"), "survey")
-        self.signed = survey.filter("doc_id is not null").select("doc_id", F.col("key").alias("sig"), F.col("n").alias("size"))
+        survey = written(self.docs.mapInArrow(lambda it: _survey(it, n), "doc_id bigint, key bigint, n bigint, bands array<bigint>"), "survey")
+        some = survey.filter("doc_id is not null")
+        one = some.groupBy("doc_id").agg(F.min(F.struct("key", "n", "bands")).alias("s"))
+        self.sets = written(
+            one.groupBy(F.col("s.key").alias("id")).agg(F.first("s.n").alias("size"), F.first("s.bands").alias("bands"), F.array_sort(F.collect_list("doc_id")).alias("docs")), "sets"
+        )
+        self.total = some.agg(F.sum((1 - F.lit(threshold)) * F.col("n") + SHARED)).first()[0] or 0
         often = survey.filter("doc_id is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
         keys = often["key"].to_numpy(np.int64).view(tx.U)
         order = np.argsort(keys)
         rank = np.arange(len(keys), 0, -1, dtype=np.int64)  # the most frequent comes last
         self.frequent = keys[order], rank[order]
 
-    def candidates(self) -> DataFrame:
-        """Pairs a < b of signatures that may reach the threshold."""
-        total = self.signed.agg(F.sum((1 - F.lit(self.threshold)) * F.col("size") + SHARED)).first()[0] or 0
-        blocks = max(8, int(total // BLOCK_ENTRIES) + 1)
-        sent = self.spark.sparkContext.broadcast(self.frequent)
-        n, threshold = self.n, self.threshold
+    def likely(self) -> DataFrame:
+        """Edges that link all sets that share a band, a star for each band's value."""
+        each = self.sets.select("id", F.explode("bands").alias("band"))
+        least = each.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("band", "b")
+        return written(each.join(least, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), "likely")
+
+    def candidates(self, roots: DataFrame) -> DataFrame:
+        """Pairs a, b of sets of different groups that may reach the threshold."""
+        blocks = max(8, int(self.total // BLOCK_ENTRIES) + 1)
+        n, threshold, context = self.n, self.threshold, self.spark.sparkContext
+        known = np.zeros(0, tx.U), np.zeros(0, np.int64)
+        if roots.count() * 16 <= BROADCAST_BYTES:  # else pairs within groups are counted too, for nothing
+            r = roots.toPandas()
+            keys, groups = r["id"].to_numpy(np.int64).view(tx.U), np.unique(r["root"].to_numpy(np.int64), return_inverse=True)[1]
+            known = np.sort(keys), groups[np.argsort(keys)]
+        sent, grouped = context.broadcast(self.frequent), context.broadcast(known)
         entries = self.docs.mapInArrow(lambda it: _entries(it, n, threshold, blocks, sent.value), "block int, sigs binary, sizes binary, grams binary, docs binary")
-        parts = entries.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, threshold), "a bigint, b bigint, na int, nb int, shared int")
+        parts = entries.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, threshold, grouped.value), "a bigint, b bigint, na int, nb int, shared int")
         summed = parts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
         return written(summed.filter(_possible(threshold)).select("a", "b"), "candidates")
 
-    def similar(self) -> DataFrame:
-        """Pairs a < b of different sets with their sizes and exact overlap, of the threshold at least."""
-        pairs = self.candidates()
-        ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree")), "ids")
-        groups = components(pairs)
-        reps = self.signed.groupBy(F.col("sig").alias("id")).agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"))
-        members = written(ids.join(groups, "id").join(reps, "id"), "members")
+    def tiles(self, links: bool) -> DataFrame:
+        """The similar pairs of different sets: of their documents, or as links between signatures."""
+        likely = self.likely()
+        groups = components(likely)
+        both = components(likely.unionAll(self.candidates(groups)))
+        members = written(both.join(self.sets.select("id", "size", "docs"), "id").withColumn("rep", F.col("docs")[0]), "members")
         count = members.count()
         bits = int(min(26, max(10, np.ceil(np.log2(max(count, 1) * 16)))))
         packed = np.zeros((1 << bits) // 8, np.uint8)
-        for r in members.select("rep").mapInArrow(lambda it: _bloom_part(it, bits), "bits binary").toLocalIterator():
+        for r in members.select("rep").coalesce(8).mapInArrow(lambda it: _bloom_part(it, bits), "bits binary").toLocalIterator():
             packed |= np.frombuffer(r["bits"], np.uint8)
-        sent, n = self.spark.sparkContext.broadcast(packed), self.n
+        sent, n, threshold = self.spark.sparkContext.broadcast(packed), self.n, self.threshold
         sets = self.docs.mapInArrow(lambda it: _sets(it, n, sent.value), "rep bigint, id bigint, grams binary")
         # a component is one tile, or, if its sets are too large together, a square of tiles of its chunks
         load = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") * 8) / TILE_BYTES).cast("int").alias("chunks"))
         placed = members.join(load, "root").withColumn("chunk", F.pmod(F.hash("id"), F.col("chunks")))
-        where = placed.select("id", "root", "chunk", "chunks")
-        tile = lambda i, j: F.xxhash64(F.col("root"), i, j)
-        side = lambda s: where.select(F.col("id").alias(s), F.col("chunk").alias(f"{s}c"), *([F.col("root")] if s == "a" else []))
-        asked = pairs.join(side("a"), "a").join(side("b"), "b").select(tile(F.least("ac", "bc"), F.greatest("ac", "bc")).alias("tile"), "a", "b")
-        asked = asked.groupBy("tile", F.col("a").alias("id")).agg(F.collect_list("b").alias("partners"))
-        spread = (
-            placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select("id", "rep", tile(F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"))
-        )
-        held = spread.join(sets, ["rep", "id"]).select("tile", "id", "grams")
-        rows = held.withColumn("partners", F.lit(None).cast("array<bigint>")).unionByName(asked.withColumn("grams", F.lit(None).cast("binary")))
-        exact = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify, "a bigint, b bigint, na bigint, nb bigint, overlap bigint")
-        return written(exact.filter(F.col("overlap") >= self.threshold * (F.col("na") + F.col("nb") - F.col("overlap")) - 1e-9), "similar")
+        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+            "id", "rep", "docs", "chunk", F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile")
+        )
+        rows = spread.join(sets, ["rep", "id"]).select("tile", "id", "chunk", "grams", F.col("docs") if not links else F.lit(None).cast("array<bigint>").alias("docs"))
+        return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _tiles(it, threshold, links), "a bigint, b bigint" if links else _PAIRS)
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -372,43 +471,35 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
     N-grams are put in one global order, rare ones first; a document enters only a prefix of its n-grams in that order,
     long enough that a pair at the threshold shares SHARED entries. The entries are split in blocks of columns, each
     block is multiplied with its transpose in one task, and the counts of a pair are added over blocks; pairs of sizes
-    too far apart, or with counts below what their sizes ask for, are discarded. The rest is verified on whole sets.
-    Documents with equal sets are one row of the matrix, so copies cost nothing until pairs are listed.
+    too far apart, or with counts below what their sizes ask for, are discarded. Sets that share a band of min-hashes
+    are grouped beforehand and left out of that product. Groups and remaining candidates are linked to components, in
+    which the matrix of whole sets is multiplied with its transpose, tile by tile. Documents with equal sets are one row
+    of the matrix, and pairs are listed only where nothing is shuffled any more.
 
     Words are lower-cased runs of letters and numbers; a document of fewer than n words has one n-gram. Documents
-    without words, and rows with a null doc_id or text, are in no pair; of rows that repeat a doc_id each set counts, but
-    no document is paired with itself; other columns are ignored; an empty table gives an empty table.
+    without words, and rows with a null doc_id or text, are in no pair; of rows that repeat a doc_id one counts; other
+    columns are ignored; an empty table gives an empty table.
     """
     join = Join(docs, threshold, n)
-    similar = join.similar()
-    of = lambda s: join.signed.select(F.col("doc_id").alias(f"d{s}"), F.col("sig").alias(s))
-    near = similar.join(of("a"), "a").join(of("b"), "b").select("da", "db", "na", "nb", "overlap")
-    same = of("a").withColumn("b", F.col("a")).join(of("b"), "b").filter("da < db").join(join.signed.select(F.col("sig").alias("a"), "size").distinct(), "a")
-    both = near.unionByName(same.select("da", "db", F.col("size").alias("na"), F.col("size").alias("nb"), F.col("size").alias("overlap"))).filter("da <> db")
-    flip = F.col("da") > F.col("db")
-    out = both.select(
-        F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("n_a"),
-        F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("n_b"), "overlap",
-    )
-    return out.withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).distinct()
+    same = join.sets.filter("size(docs) > 1").select("size", "docs").repartition("docs").mapInArrow(_copies, _PAIRS)
+    return join.tiles(links=False).unionAll(same)
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """doc_id, keeper: the least doc_id among the documents linked to it by similar pairs, for documents in a group."""
     join = Join(docs, threshold, n)
-    roots = components(join.similar())
-    label = join.signed.join(roots.select(F.col("id").alias("sig"), "root"), "sig", "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
+    roots = components(join.tiles(links=True))
+    label = join.sets.join(roots, "id", "left").select(F.explode("docs").alias("doc_id"), F.coalesce("root", "id").alias("root"))
     least = label.groupBy("root").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-    return label.join(least, "root").select("doc_id", "keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
+    return label.join(least, "root").select("doc_id", "keeper")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; of rows that repeat a doc_id in a group one stays.
-    Documents without words and rows with a null doc_id or text stay."""
+    """One document of each group stays, that with the least doc_id, with all rows that repeat this doc_id. Documents
+    without words and rows with a null doc_id or text stay."""
     groups = written(near_duplicate_groups(docs, threshold, n), "near-duplicate-groups")
     gone = groups.filter("doc_id <> keeper").select(F.col("doc_id").alias("__near_doc"))
-    rest = docs.join(gone, docs["doc_id"] == F.col("__near_doc"), "left_anti")
-    return rest
+    return docs.join(gone, docs["doc_id"] == F.col("__near_doc"), "left_anti")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
