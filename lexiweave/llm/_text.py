@@ -6,6 +6,7 @@ any span is hashed in constant time from one running polynomial sum modulo 2**64
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ _B = U(0x9E3779B97F4A7C15 | 1)
 _BINV = U(pow(int(_B), -1, 1 << 64))
 _TOP = 0x32400  # beyond lie only marks, variation selectors and private-use characters
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Bytes of text that are worked on at a time; the arrays over them take some hundred times as much.
+SLICE = 1 << 20
 
 
 @functools.cache
@@ -113,6 +116,22 @@ def slices(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[pa.RecordBa
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks, and what one keeps the others lack."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # a C library without it
+        return None
 
 
 def codepoints(col) -> tuple[np.ndarray, np.ndarray]:

@@ -224,7 +224,7 @@ def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, path: str = "") ->
     begin = np.cumsum(width, dtype=np.int64) - width
     known = _known.setdefault(path, Known())
     for whole in batches:
-        for b in tx.slices(whole, "text", 4 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             cp, off = tx.codepoints(b.column(1))
             s, e = pretokens(cp, off)
             keys, first, which = np.unique(tx.Spans(cp).hash(s, e), return_index=True, return_inverse=True)

@@ -50,7 +50,7 @@ def combine(a: bytes, b: bytes) -> bytes:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in tx.slices(whole, "text", 2 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             n, state, digest, null = [], [], [], b.column(1).is_null().to_numpy(zero_copy_only=False)
             for text in b.column(1).to_pylist():
                 parts = paragraphs(text or "")

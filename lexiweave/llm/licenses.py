@@ -93,7 +93,7 @@ def _scan(batches: Iterator[pa.RecordBatch], notices: tuple, error_rate: float)
     scanner = _scanner(notices, error_rate)
     for whole in batches:
         rows = []
-        for b in tx.slices(whole, "text", 2 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             cp, off = tx.codepoints(b.column(1))
             low = tx.lowered(cp).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
             ids, at = b.column(0).to_pylist(), off.tolist()

@@ -50,7 +50,7 @@ def _ends(length: np.ndarray, edits: int) -> list[np.ndarray]:
 
 def _line_rows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in tx.slices(whole, "text", 4 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             cp, off = tx.codepoints(b.column(1))
             doc, nth, s, e = lines(cp, off)
             s, e = _trimmed(cp, s, e)
@@ -97,7 +97,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, line numbers) to the trimmed, lower-cased lines of these numbers with their hashes."""
     for whole in batches:
-        for b in tx.slices(whole, "text", 4 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             cp, off = tx.codepoints(b.column(1))
             doc, nth, s, e = lines(cp, off)
             s, e = _trimmed(cp, s, e)

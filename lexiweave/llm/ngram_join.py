@@ -84,7 +84,7 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     seen: list[np.ndarray] = []
     met: np.ndarray = np.zeros(0, tx.U)
     for whole in batches:
-        for b in tx.slices(whole, "text", 4 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             g, off = gram_sets(*tx.codepoints(b.column(1)), n)
             sig, size = signatures(g, off), np.diff(off)
             some = np.flatnonzero(size)
@@ -148,7 +148,7 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, threshold: float, blocks
         return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array([rows[i][k] for i in keep], pa.binary()) for k in range(4)]], names=["block", "sigs", "sizes", "grams", "docs"])
 
     for whole in batches:
-        for b in tx.slices(whole, "text", 4 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             g, off = gram_sets(*tx.codepoints(b.column(1)), n)
             sig, size = signatures(g, off), np.diff(off)
             _, first = np.unique(sig, return_index=True)
@@ -295,7 +295,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iter
     for b in batches:
         ids = np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)).view(tx.U)
         b = b.filter(pa.array(_maybe(ids, wanted)))
-        for p in tx.slices(b, "text", 4 << 20):
+        for p in tx.slices(b, "text", tx.SLICE):
             g, off = gram_sets(*tx.codepoints(p.column(1)), n)
             sig = signatures(g, off)
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sig.view(np.int64)), pa.array([g[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], names=["rep", "id", "grams"])

@@ -158,7 +158,7 @@ class AttentionModel:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in tx.slices(whole, "text", 2 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             f, _, n = encode_passages(*tx.codepoints(b.column(1)))
             at = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def _score(batches: Iterator[pa.RecordBatch], model: AttentionModel | None) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in tx.slices(whole, "text", 2 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             x, doc, n = encode_passages(*tx.codepoints(b.column(1)))
             score, weight, top = np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
             some = np.flatnonzero(n)

@@ -180,7 +180,7 @@ def counts_of(col: pa.Array, p: Pieces, cache: str | None = None, most: int = 1_
 def count_batches(batches: Iterator[pa.RecordBatch], p: Pieces, cache: str) -> Iterator[pa.RecordBatch]:
     """From batches (doc_id, text) to batches (doc_id, n_tokens)."""
     for whole in batches:
-        for b in tx.slices(whole, "text", 4 << 20):
+        for b in tx.slices(whole, "text", tx.SLICE):
             null = b.column(1).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts_of(b.column(1), p, cache), pa.int64(), mask=null)], names=["doc_id", "n_tokens"])
 
