@@ -14,8 +14,12 @@ from lexiweave.llm._spark import table, written
 
 #: Lines of fewer characters are never dropped: short ones are alike by chance, and headings and brackets recur.
 MIN_CHARS = 20
-#: A line's end pieces have the length of the step at or below half its length.
-_STEPS = np.unique(np.round(8 * 1.25 ** np.arange(90)).astype(np.int64))
+#: Lengths of the pieces that an edit may leave whole.
+_STEPS = np.unique(np.round(4 * 1.25 ** np.arange(90)).astype(np.int64))
+#: Keys of one bucket; the number of buckets grows with the input, the work in one does not.
+BUCKET_KEYS = 2_000_000
+_KEY, _ID = 5, 6  # bytes of a key within its bucket, and of the line that has it
+_ID_BITS = (1 << 8 * _ID) - 1
 
 
 def _trimmed(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,44 +46,115 @@ def lines(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return doc, nth, s, e
 
 
-def _ends(length: np.ndarray, edits: int) -> list[np.ndarray]:
-    """For each line the piece lengths it is entered under: its own and those of lines shorter by up to `edits`."""
-    step = lambda x: _STEPS[np.maximum(np.searchsorted(_STEPS, x // 2, "right") - 1, 0)]
-    return [step(length - k) for k in range(edits + 1)]
+def _found(b: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, ...]:
+    """(row, number within it, start, end, lower-cased code points) of the trimmed lines of a batch that count."""
+    cp, off = tx.codepoints(b.column(1))
+    doc, nth, s, e = lines(cp, off)
+    s, e = _trimmed(cp, s, e)
+    at = np.flatnonzero(e - s >= min_chars)
+    return doc[at], nth[at], s[at], e[at], tx.lowered(cp)
+
+
+def _hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tx.Spans(low).hash(s, e), tx.Spans(low ^ np.uint32(0x15A4E35)).hash(s, e)
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in tx.slices(whole, "text", tx.SLICE):
-            cp, off = tx.codepoints(b.column(1))
-            doc, nth, s, e = lines(cp, off)
-            s, e = _trimmed(cp, s, e)
-            at = np.flatnonzero(e - s >= min_chars)
-            doc, nth, s, e = doc[at], nth[at], s[at], e[at]
-            low = tx.lowered(cp)
-            h, other = tx.Spans(low).hash(s, e), tx.Spans(low ^ np.uint32(0x15A4E35)).hash(s, e)
-            prefix, suffix = [], []
-            ends = _ends(e - s, 1)
-            for k, g in enumerate(ends):
-                p, q = tx.Spans(low).hash(s, s + g), tx.Spans(low).hash(e - g, e) ^ tx.U(0x7F4A7C15)
-                gone = (g == ends[0]) if k else np.zeros(len(g), bool)
-                prefix.append(pa.array(p.view(np.int64), mask=gone))
-                suffix.append(pa.array(q.view(np.int64), mask=gone))
-            ids = b.column(0).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(nth, pa.int32()), pa.array(h.view(np.int64)), pa.array(other.view(np.int64)), *prefix, *suffix],
-                names=["doc_id", "line_no", "h", "g", "p0", "p1", "s0", "s1"],
-            )
+            doc, nth, s, e, low = _found(b, min_chars)
+            h, g = _hashes(low, s, e)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(nth, pa.int32()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=["doc_id", "line_no", "h", "g"])
+
+
+_ROWS = "doc_id bigint, line_no int, h bigint, g bigint"
+_PACKED = "bucket int, entries binary"
+
+
+def _bucketed(found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Keys with the lines that have them, packed to one row a bucket."""
+    keys, ids = (np.concatenate([f[i] for f in found]) for i in range(2))
+    bucket = (keys >> tx.U(8 * _KEY)) % tx.U(buckets)
+    by = np.argsort(bucket, kind="stable")
+    packed = np.empty((len(keys), _KEY + _ID), np.uint8)
+    packed[:, :_KEY] = keys[by].view(np.uint8).reshape(-1, 8)[:, :_KEY]
+    packed[:, _KEY:] = ids[by].view(np.uint8).reshape(-1, 8)[:, :_ID]
+    there, first = np.unique(bucket[by], return_index=True)
+    ends = [*first[1:].tolist(), len(keys)]
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([packed[i:j].tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())], names=["bucket", "entries"])
+
+
+def _packed(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    for f in found:
+        some.append(f)
+        if sum(len(k) for k, _ in some) > BUCKET_KEYS:
+            yield _bucketed(some, buckets)
+            some = []
+    if sum(len(k) for k, _ in some):
+        yield _bucketed(some, buckets)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(group, line) by group, for each bucket, of the keys that several lines have."""
+    for t in tx.groups(batches, "bucket"):
+        bucket = t.column("bucket").to_numpy()
+        at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+        for i, j in zip(at, [*at[1:], len(bucket)]):
+            packed = np.frombuffer(b"".join(t.column("entries").slice(i, j - i).to_pylist()), np.uint8).reshape(-1, _KEY + _ID)
+            wide = np.zeros((len(packed), 16), np.uint8)
+            wide[:, :_KEY], wide[:, 8 : 8 + _ID] = packed[:, :_KEY], packed[:, _KEY:]
+            key, line = wide.view(tx.U).T
+            by = np.argsort(key)
+            key, line = key[by], line[by]
+            same = key[1:] == key[:-1]
+            often = np.zeros(len(key), bool)
+            often[1:] |= same
+            often[:-1] |= same
+            key, line = key[often], line[often]
+            by = np.lexsort((line, key))
+            key, line = key[by], line[by]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            key, line = key[new], line[new]
+            group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+            keep = np.bincount(group)[group] > 1
+            yield group[keep], line[keep]
+
+
+def _end_keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What one edit must leave whole in a line, with its length: about three quarters of it, in one of four ways.
+
+    Of the halves of a line one stays as it is. If it is the first, then so does a quarter at the other end or the one
+    that follows the half, and likewise from behind. A line is entered under its own length and that of a line shorter
+    by one.
+    """
+    step = lambda x: _STEPS[np.maximum(np.searchsorted(_STEPS, x, "right") - 1, 0)]
+    for whole in batches:
+        for b in tx.slices(whole, "text", tx.SLICE):
+            _, _, s, e, low = _found(b, min_chars)
+            span = tx.Spans(low)
+            h, first = np.unique(span.hash(s, e), return_index=True)  # repeated lines once
+            s, e = s[first], e[first]
+            line = h & tx.U(_ID_BITS)
+            for base in (e - s, e - s - 1):
+                half, rest = step(base // 2), step(base // 4)
+                length = base.astype(tx.U) * tx.U(0x9E3779B97F4A7C15)
+                head, tail = span.hash(s, s + half), span.hash(e - half, e)
+                for k, x in enumerate((head + span.hash(e - rest, e) * tx.U(3), span.hash(s, s + half + rest), tail * tx.U(3) + span.hash(s, s + rest), span.hash(e - half - rest, e))):
+                    yield tx.mix(x ^ length ^ tx.U(k + 1)), line
 
 
-_ROWS = "doc_id bigint, line_no int, h bigint, g bigint, p0 bigint, p1 bigint, s0 bigint, s1 bigint"
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, line in _met(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(line).view(np.int64))], names=["line"])
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The deletion neighbourhood of each line: its own hash and that of it without each of its characters."""
     for whole in batches:
         for b in tx.slices(whole, "text", 1 << 16):
-            cp, off = tx.codepoints(b.column(2))
+            cp, off = tx.codepoints(b.column(1))
             n = np.diff(off)
             line = np.repeat(np.arange(len(n)), n + 1)
             pos = np.arange(len(line)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1) - 1  # -1: nothing deleted
@@ -91,7 +166,22 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = tx.mix((left + right * tx.power(int(n.max(initial=0)) + 1)[cut - s]) ^ ((e - s - (past - cut)).astype(tx.U) * tx.U(0xD6E8FEB86659FD93)))
             # deleting any of a run of equal characters gives the same variant
             keep = (pos <= 0) | (cp[np.minimum(cut, len(cp) - 1)] != cp[np.maximum(cut - 1, 0)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(line[keep])), b.column(1).take(pa.array(line[keep])), pa.array(key[keep].view(np.int64))], names=["h", "g", "key"])
+            yield key[keep], b.column(0).to_numpy(zero_copy_only=False).view(tx.U)[line[keep]]
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs x < y of lines that share a variant."""
+    for group, line in _met(batches):
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.diff(np.append(first, len(group)))
+        later = np.repeat(first + size, size) - 1 - np.arange(len(group))
+        for part in np.array_split(np.arange(len(group)), max(1, int(later.sum()) // 2_000_000)):
+            x, y = np.repeat(part, later[part]), tx.ragged(part + 1, later[part])
+            yield pa.RecordBatch.from_arrays([pa.array(line[x].view(np.int64)), pa.array(line[y].view(np.int64))], names=["x", "y"])
+
+
+def _meeting(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, schema).distinct()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,45 +209,38 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     are left alone. A line is a duplicate if any line before it in the order (doc_id, line_no) is equal (edits 0) or one
     insertion, deletion or substitution away (edits 1); of these the earliest is given, and edits says how far it is.
 
-    Equal lines meet by hash. For the others, lines first meet by what one edit must leave whole: a piece of set length
-    at their beginning or their end. Only lines that share such a piece with another emit their deletion neighbourhood
-    as hashed keys; equal keys are joined and pairs verified by edit distance. Rows with a null doc_id or text have no lines; rows that repeat a doc_id are taken together, and of
-    lines with the same doc_id and number the earliest stays in each; other columns are ignored.
+    Equal lines meet by hash. For the others, lines first meet by what one edit must leave whole of them. Only lines
+    that have this in common with another emit their deletion neighbourhood as hashed keys; lines with equal keys are
+    joined and verified by edit distance. Keys travel in packed rows of a bucket each, and are sorted there.
+
+    Rows with a null doc_id or text have no lines; rows that repeat a doc_id are taken together, and of lines with the
+    same doc_id and number the earliest stays in each; other columns are ignored; an empty table gives an empty table.
     """
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     occurrences = written(pairs.mapInArrow(lambda it: _line_rows(it, min_chars), _ROWS), "lines")
-    distinct = written(
-        occurrences.groupBy("h", "g").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("p0", "p1", "s0", "s1")]
-        ),
-        "distinct-lines",
-    )
-    return _duplicates(pairs, occurrences, distinct)
+    distinct = written(occurrences.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "distinct-lines")
+    buckets = 1 + 8 * distinct.count() // BUCKET_KEYS
+    ends = pairs.mapInArrow(lambda it: _packed(_end_keys(it, min_chars), buckets), _PACKED)
+    line = F.col("h").bitwiseAND(F.lit(_ID_BITS))
+    close = written(distinct.select("h", "g", "at", line.alias("line")).join(_meeting(ends, buckets, _close, "line bigint"), "line", "left_semi"), "close-lines")
+    return _duplicates(pairs, occurrences, distinct, close)
 
 
-def _duplicates(pairs: DataFrame, occurrences: DataFrame, distinct: DataFrame) -> DataFrame:
-    ends = distinct.select("h", "g", "at", F.explode(F.array("p0", "p1", "s0", "s1")).alias("end")).filter("end is not null")
-    # of a piece it matters only whether more than one line has it
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1").select("end")
-    close = written(ends.join(shared, "end", "left_semi").select("h", "g", "at").distinct(), "close-lines")
+def _duplicates(pairs: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame) -> DataFrame:
     where = close.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_set("at.line_no")).alias("wanted"))
-    texts = written(
-        pairs.join(where, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_texts, "h bigint, g bigint, text string").dropDuplicates(["h", "g"]).join(close, ["h", "g"], "left_semi"),
-        "close-texts",
-    )
-    keys = texts.mapInArrow(_variants, "h bigint, g bigint, key bigint")
-    # a line's keys are distinct, so a key that only one line has is dropped before lines are listed by it
-    met = keys.groupBy("key").agg(F.collect_set(F.struct("h", "g")).alias("of")).filter("size(of) > 1")
-    one = met.select("of", F.explode("of").alias("x"))
-    two = one.select("x", F.explode("of").alias("y")).filter("x < y").distinct()
-    side = texts.join(close, ["h", "g"]).select(F.struct("h", "g").alias("id"), "text", "at")
+    read = pairs.join(where, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_texts, "h bigint, g bigint, text string")
+    texts = written(read.dropDuplicates(["h", "g"]).join(close, ["h", "g"]).select("line", "text", "at"), "close-texts")
+    buckets = 1 + (texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // BUCKET_KEYS
+    keys = texts.select("line", "text").mapInArrow(lambda it: _packed(_variants(it), buckets), _PACKED)
+    two = _meeting(keys, buckets, _partners, "x bigint, y bigint")
+    side = lambda n: texts.select(F.col("line").alias(n), F.col("text").alias(f"{n}t"), F.col("at").alias(f"{n}a"))
     near = (
-        two.join(side.toDF("x", "xt", "xa"), "x").join(side.toDF("y", "yt", "ya"), "y")
+        two.join(side("x"), "x").join(side("y"), "y")
         .filter(F.levenshtein("xt", "yt", 1) == 1)
-        .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("id"), F.least("xa", "ya").alias("before"))
-        .groupBy("id").agg(F.min("before").alias("before"))
+        .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("line"), F.least("xa", "ya").alias("before"))
+        .groupBy("line").agg(F.min("before").alias("before"))
     )
-    near = written(near.select(F.col("id.h").alias("h"), F.col("id.g").alias("g"), "before"), "near-lines")
+    near = written(near.join(close, "line").select("h", "g", "before"), "near-lines")
     # lines whose text occurs again or is near an earlier one
     marked = distinct.select("h", "g", "at", "n").join(near, ["h", "g"], "left").filter("n > 1 or before is not null")
     hit = occurrences.select("h", "g", F.struct("doc_id", "line_no").alias("me")).join(marked, ["h", "g"])
