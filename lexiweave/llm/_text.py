@@ -195,3 +195,25 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         rest.append(b.slice(same))
     if rest:
         yield pa.Table.from_batches(rest)
+
+
+_BLOOM = (0x243F6A88, 0x85A308D3, 0x13198A2E)
+
+
+def bloom_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The Bloom filter, of 2**bits bits, of a task's ids."""
+    ids = [b.column(0).to_numpy(zero_copy_only=False).view(U) for b in batches]
+    if ids:
+        out = np.zeros(1 << bits, bool)
+        for salt in _BLOOM:
+            out[mix(np.concatenate(ids) ^ U(salt)) >> U(64 - bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
+
+
+def maybe(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which ids a packed Bloom filter lets through."""
+    bits, ok = int(len(packed) * 8).bit_length() - 1, np.ones(len(ids), bool)
+    for salt in _BLOOM:
+        at = mix(ids ^ U(salt)) >> U(64 - bits)
+        ok &= (packed[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8)) & 1 == 1
+    return ok

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.llm import _text as tx
-from lexiweave.llm._spark import table, written
+from lexiweave.llm._spark import bloom, table, written
 
 #: Lines of fewer characters are never dropped: short ones are alike by chance, and headings and brackets recur.
 MIN_CHARS = 20
@@ -184,22 +184,15 @@ def _meeting(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, schema).distinct()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, line numbers) to the trimmed, lower-cased lines of these numbers with their hashes."""
+def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The trimmed, lower-cased lines that the filter lets through, with their hashes."""
     for whole in batches:
         for b in tx.slices(whole, "text", tx.SLICE):
-            cp, off = tx.codepoints(b.column(1))
-            doc, nth, s, e = lines(cp, off)
-            s, e = _trimmed(cp, s, e)
-            low = tx.lowered(cp)
-            first = np.searchsorted(doc, np.arange(b.num_rows))
-            asked = b.column(2)
-            row, nth = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
-            at = (first[row] + nth)[nth < np.append(first[1:], len(doc))[row] - first[row]]  # of rows with one doc_id, some may be shorter
-            s, e = s[at], e[at]
-            spans = tx.Spans(low)
-            text = [low[i:j].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(s.tolist(), e.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(spans.hash(s, e).view(np.int64)), pa.array(tx.Spans(low ^ np.uint32(0x15A4E35)).hash(s, e).view(np.int64)), pa.array(text, pa.string())], names=["h", "g", "text"])
+            _, _, s, e, low = _found(b, min_chars)
+            h, g = _hashes(low, s, e)
+            at = np.flatnonzero(tx.maybe(h & tx.U(_ID_BITS), wanted))
+            text = [low[i:j].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(s[at].tolist(), e[at].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), pa.array(text, pa.string())], names=["h", "g", "text"])
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -223,12 +216,12 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     ends = pairs.mapInArrow(lambda it: _packed(_end_keys(it, min_chars), buckets), _PACKED)
     line = F.col("h").bitwiseAND(F.lit(_ID_BITS))
     close = written(distinct.select("h", "g", "at", line.alias("line")).join(_meeting(ends, buckets, _close, "line bigint"), "line", "left_semi"), "close-lines")
-    return _duplicates(pairs, occurrences, distinct, close)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(close.select("line")))
+    read = pairs.mapInArrow(lambda it: _texts(it, min_chars, sent.value), "h bigint, g bigint, text string")
+    return _duplicates(read, occurrences, distinct, close)
 
 
-def _duplicates(pairs: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame) -> DataFrame:
-    where = close.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_set("at.line_no")).alias("wanted"))
-    read = pairs.join(where, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_texts, "h bigint, g bigint, text string")
+def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame) -> DataFrame:
     texts = written(read.dropDuplicates(["h", "g"]).join(close, ["h", "g"]).select("line", "text", "at"), "close-texts")
     buckets = 1 + (texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // BUCKET_KEYS
     keys = texts.select("line", "text").mapInArrow(lambda it: _packed(_variants(it), buckets), _PACKED)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.llm import _text as tx
-from lexiweave.llm._spark import BROADCAST_BYTES, table, written
+from lexiweave.llm._spark import BROADCAST_BYTES, bloom, table, written
 
 N = 3
 THRESHOLD = 0.6
@@ -273,28 +273,11 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", F.col("next").alias("root"))
 
 
-def _maybe(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    bits, ok = int(len(packed) * 8).bit_length() - 1, np.ones(len(ids), bool)
-    for salt in (0x243F6A88, 0x85A308D3, 0x13198A2E):
-        at = tx.mix(ids ^ tx.U(salt)) >> tx.U(64 - bits)
-        ok &= (packed[at >> tx.U(3)] >> (tx.U(7) - (at & tx.U(7))).astype(np.uint8)) & 1 == 1
-    return ok
-
-
-def _bloom_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    ids = [b.column(0).to_numpy(zero_copy_only=False).view(tx.U) for b in batches]
-    if ids:
-        out = np.zeros(1 << bits, bool)
-        for salt in (0x243F6A88, 0x85A308D3, 0x13198A2E):
-            out[tx.mix(np.concatenate(ids) ^ tx.U(salt)) >> tx.U(64 - bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(rep, id, grams) of the documents that the filter may want."""
     for b in batches:
         ids = np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)).view(tx.U)
-        b = b.filter(pa.array(_maybe(ids, wanted)))
+        b = b.filter(pa.array(tx.maybe(ids, wanted)))
         for p in tx.slices(b, "text", tx.SLICE):
             g, off = gram_sets(*tx.codepoints(p.column(1)), n)
             sig = signatures(g, off)
@@ -447,12 +430,7 @@ class Join:
         groups = components(likely)
         both = components(likely.unionAll(self.candidates(groups)))
         members = written(both.join(self.sets.select("id", "size", "docs"), "id").withColumn("rep", F.col("docs")[0]), "members")
-        count = members.count()
-        bits = int(min(26, max(10, np.ceil(np.log2(max(count, 1) * 16)))))
-        packed = np.zeros((1 << bits) // 8, np.uint8)
-        for r in members.select("rep").coalesce(8).mapInArrow(lambda it: _bloom_part(it, bits), "bits binary").toLocalIterator():
-            packed |= np.frombuffer(r["bits"], np.uint8)
-        sent, n, threshold = self.spark.sparkContext.broadcast(packed), self.n, self.threshold
+        sent, n, threshold = self.spark.sparkContext.broadcast(bloom(members.select("rep"))), self.n, self.threshold
         sets = self.docs.mapInArrow(lambda it: _sets(it, n, sent.value), "rep bigint, id bigint, grams binary")
         # a component is one tile, or, if its sets are too large together, a square of tiles of its chunks
         load = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") * 8) / TILE_BYTES).cast("int").alias("chunks"))
