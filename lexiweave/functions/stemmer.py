@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _VOWELS = frozenset("aeiou")
 
@@ -99,7 +100,7 @@ def stem(word: str) -> str:
     return _tidy(_drop(_replace(_replace(_final_y(_past(_plural(word))), _TWO), _THREE)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_column(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
         yield s.map(stem, na_action="ignore")
@@ -119,7 +120,7 @@ def stem_tokens(tokens: DataFrame, column: str = "token") -> DataFrame:
 _WORD = re.compile(r"[A-Za-z]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stem_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _WORD.sub(lambda m: stem(m.group().lower()), t), na_action="ignore")
 
