@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.functions.session import kept
 from lexiweave.functions.text import dead_zone
 from lexiweave.operators import evaluate, scorers
 from lexiweave.operators.lexicon import Lexicon
@@ -45,12 +46,14 @@ class Learner:
         lexicon = Lexicon.fit(docs, self.scheme, classifier=self.kind)
         for name, scheme in self.field_schemes.items():
             lexicon = lexicon.with_field_scheme(name, scheme)
-        lexicon = lexicon.pruned(self.min_df)
+        lexicon = replace(lexicon.pruned(self.min_df), labels=kept(lexicon.labels, "labels"))
+        lexicon = replace(lexicon, terms=kept(lexicon.terms, "terms"))
         if self.top_n > 0:
             scores = scorers.log_likelihood(vectors(docs, lexicon), docs.select("doc_id", "label").dropna())
             best = scorers.select_best(lexicon.terms, scores, self.top_n)
             lexicon = lexicon.restricted(best)
-        return lexicon.compacted()
+        lexicon = lexicon.compacted()
+        return replace(lexicon, terms=kept(lexicon.terms, "terms"))
 
     def fit(self, docs: DataFrame) -> Classifier:
         """docs: doc_id, tokens or fields, label. At least two labels are needed."""
@@ -65,6 +68,7 @@ class Learner:
             raise ValueError("at least two labels are needed")
         size = lexicon.terms.agg(F.max("attr_id")).first()[0] or 1
         rows = ml_vectors(vectors(known, lexicon), known, size).join(_labelled(known, lexicon), "doc_id").select("features", F.col("label_id").cast("double").alias("label"))
+        rows = kept(rows, "vectors")
         base = LEARNERS[self.kind](maxIter=self.iterations, regParam=1 / (self.cost * max(lexicon.doc_num, 1)), standardization=False, fitIntercept=False)
         return Classifier(lexicon, names, size, OneVsRest(classifier=base).fit(rows))
 
@@ -103,7 +107,7 @@ def cross_validate(docs: DataFrame, learner: Learner, n: int = 3, seed: int = 7)
     and selection are fitted without it too."""
     if n < 2:
         raise ValueError("at least two folds are needed")
-    d = folds(docs.filter("label is not null"), n, seed)
+    d = kept(folds(docs.filter("label is not null"), n, seed), "folds")
     parts = []
     for k in range(n):
         held = d.filter(F.col("fold") == k)
