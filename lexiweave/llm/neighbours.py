@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # workers that only read batches lack it
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,10 @@ DEGREE, TOP, BEAM = 32, 10, 160
 CHANGED, ROUNDS = 0.01, 8
 #: Rows that are compared with each other for the first graph, and how often rows are put in such leaves.
 LEAF, TREES = 256, 3
-#: Nodes that every search begins from, and nodes that it expands at a time.
+#: Nodes that every search begins from besides its own, and nodes that it expands at a time.
 ENTRIES, EXPAND = 256, 4
+#: A query that is no node begins from what it finds among one in so many nodes, wherever ENTRIES are a smaller share.
+THIN = 16
 _GRAPH = "id bigint, nb binary, ds binary, nw binary"
 
 
@@ -260,8 +263,9 @@ def _aged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array([bytes(len(x)) for x in b.column(3).to_pylist()], pa.binary())], names=b.schema.names)
 
 
-def beam_search(q: np.ndarray, x: np.ndarray, nb: np.ndarray, entries: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of x, squared distances) that greedy search keeps for each query; nb: neighbours of each row, -1 for none.
+def beam_search(q: np.ndarray, x: np.ndarray, nb: np.ndarray, entries: np.ndarray, own: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, squared distances) that greedy search keeps for each query; nb: neighbours of each row, -1 for none;
+    own: different rows of x that each query begins from besides the entries, -1 for none.
 
     Each turn a query expands the nearest nodes in view that it has not expanded and keeps the nearest of all it has
     seen; it ends when all in view are expanded.
@@ -269,14 +273,19 @@ def beam_search(q: np.ndarray, x: np.ndarray, nb: np.ndarray, entries: np.ndarra
     n, total = len(q), len(x)
     xx = (x * x).sum(1)
     qq = (q * q).sum(1)
-    d = _distances(q, x[entries])
-    m = min(beam, len(entries))
-    at = np.argpartition(d, m - 1, 1)[:, :m]
-    ids, ds = np.full((n, beam), -1, np.int64), np.full((n, beam), np.inf, np.float32)
-    ids[:, :m], ds[:, :m] = entries[at], np.take_along_axis(d, at, 1)
-    done = ids < 0
     seen = np.zeros((n, total), bool)
     seen[:, entries] = True
+    r, c = np.nonzero((own >= 0) & ~seen[np.arange(n)[:, None], own])
+    seen[r, own[r, c]] = True
+    d = np.full((n, len(entries) + own.shape[1]), np.inf, np.float32)
+    d[:, : len(entries)] = _distances(q, x[entries])
+    d[r, len(entries) + c] = np.maximum(qq[r] + xx[own[r, c]] - 2 * np.einsum("ij,ij->i", q[r], x[own[r, c]]), 0)
+    begin = np.concatenate([np.broadcast_to(entries, (n, len(entries))), own], 1)
+    m = min(beam, begin.shape[1])
+    at = np.argpartition(d, m - 1, 1)[:, :m]
+    ids, ds = np.full((n, beam), -1, np.int64), np.full((n, beam), np.inf, np.float32)
+    ids[:, :m], ds[:, :m] = np.take_along_axis(begin, at, 1), np.take_along_axis(d, at, 1)
+    done = ~np.isfinite(ds)
     live = np.arange(n)
     while len(live):
         open_ = np.where(done[live], np.inf, ds[live])
@@ -324,6 +333,15 @@ def _answers(me: np.ndarray, ids: np.ndarray, ds: np.ndarray, top: int) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(me[owner], pa.int64()), pa.array(nth + 1, pa.int32()), pa.array(flat, pa.int64()), pa.array(np.sqrt(d.astype(np.float64)))], names=["vec_id", "rank", "neighbour_id", "distance"])
 
 
+def _own(b: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
+    """The rows of ids that the queries of a batch (id, v, begin, far) begin from, -1 for none."""
+    own = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+    out = np.full((len(own), max(map(len, own), default=0)), -1, np.int64)
+    for i, x in enumerate(own):
+        out[i, : len(x)] = np.searchsorted(ids, x)
+    return out
+
+
 def _search_here(batches: Iterator[pa.RecordBatch], known, beam: int, top: int) -> Iterator[pa.RecordBatch]:
     ids, x, nb, entries = known
     for b in batches:
@@ -331,7 +349,7 @@ def _search_here(batches: Iterator[pa.RecordBatch], known, beam: int, top: int)
         for i in range(0, b.num_rows, step):
             p = b.slice(i, step)
             q = np.frombuffer(b"".join(p.column(1).to_pylist()), np.float32).reshape(p.num_rows, -1)
-            at, d = beam_search(q, x, nb, entries, beam)
+            at, d = beam_search(q, x, nb, entries, _own(p, ids), beam)
             yield _answers(p.column(0).to_numpy(zero_copy_only=False), np.where(at >= 0, ids[at], -1), d, top)
 
 
@@ -339,6 +357,41 @@ _ANSWER = "vec_id bigint, rank int, neighbour_id bigint, distance double"
 _STATE = "id bigint, v binary, nb binary, ds binary, nw binary"
 
 
+_BEGUN = "id bigint, v binary, begin binary, far binary"
+
+
+def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries that are nodes begin from themselves, and so from their lists."""
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([bytes(4)] * len(ids), pa.binary())], names=["id", "v", "begin", "far"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        begin, far = ([np.asarray(x or [], t).tobytes() for x in b.column(k).to_pylist()] for k, t in ((2, np.int64), (3, np.float32)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begin, pa.binary()), pa.array(far, pa.binary())], names=["id", "v", "begin", "far"])
+
+
+def _begun(queries: DataFrame, pts: DataFrame, n: int, dims: int, beam: int, limit: int) -> DataFrame:
+    """The queries with the nodes that each begins from, and their squared distances.
+
+    A query that is a node begins from itself. Any other begins from what the same search finds among one in THIN nodes;
+    that goes on until ENTRIES are as large a share, so that every region of one in THIN rows can be reached.
+    """
+    if queries is pts:
+        return pts.mapInArrow(_at_home, _BEGUN)
+    here = queries.select("id", "v").join(pts.select("id", "v"), ["id", "v"], "left_semi").mapInArrow(_at_home, _BEGUN)
+    foreign = queries.select("id", "v").join(pts.select("id", "v"), ["id", "v"], "left_anti")
+    found = pts.sparkSession.createDataFrame([], _ANSWER)
+    if n > THIN * ENTRIES and not foreign.isEmpty():
+        some = written(pts.filter(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(THIN)) == 0), "points")
+        found = search(foreign, some, build_graph(some, dims, limit=limit), dims, DEGREE, beam, limit)
+    near = found.groupBy(F.col("vec_id").alias("id")).agg(F.collect_list(F.struct("neighbour_id", "distance")).alias("near"))
+    listed = foreign.join(near, "id", "left").select("id", "v", F.col("near.neighbour_id").alias("begin"), F.expr("transform(near.distance, x -> x * x)").alias("far"))
+    return here.unionAll(listed.mapInArrow(_gathered, _BEGUN))
+
+
 def _start(batches: Iterator[pa.RecordBatch], entries, beam: int) -> Iterator[pa.RecordBatch]:
     ids, x = entries
     for b in batches:
@@ -347,8 +400,10 @@ def _start(batches: Iterator[pa.RecordBatch], entries, beam: int) -> Iterator[pa
         m = min(beam, len(ids))
         at = np.argsort(d, 1)[:, :m]
         ds = np.take_along_axis(d, at, 1)
-        cut = lambda y, t: pa.array([z.astype(t).tobytes() for z in y], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cut(ids[at], np.int64), cut(ds, np.float32), cut(np.ones(at.shape), np.uint8)], names=["id", "v", "nb", "ds", "nw"])
+        begin, far = (b.column(k).to_pylist() for k in (2, 3))
+        cut = lambda y, own, t: pa.array([z.astype(t).tobytes() + o for z, o in zip(y, own)], pa.binary())
+        new = [b"\1" * (len(o) // 8) for o in begin]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cut(ids[at], begin, np.int64), cut(ds, far, np.float32), cut(np.ones(at.shape), new, np.uint8)], names=["id", "v", "nb", "ds", "nw"])
 
 
 def _open(batches: Iterator[pa.RecordBatch], expand: int) -> Iterator[pa.RecordBatch]:
@@ -418,7 +473,7 @@ def _final(batches: Iterator[pa.RecordBatch], beam: int, top: int) -> Iterator[p
 def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, dims: int, top: int = TOP, beam: int = BEAM, limit: int = BROADCAST_BYTES) -> DataFrame:
     """vec_id, rank, neighbour_id, distance of the `top` nearest others of each query (id, v) by greedy graph search.
 
-    Edges are walked both ways. Where graph and vectors together have at most `limit` bytes every executor searches
+    Every query begins from ENTRIES nodes and from its own (see _begun). Edges are walked both ways. Where graph and vectors together have at most `limit` bytes every executor searches
     batches of queries by itself; beyond, all queries take their steps together: the nodes that they expand are joined
     with the adjacency lists, and each turn is written.
     """
@@ -426,6 +481,7 @@ def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, dims: int, top:
     n = pts.count()
     if not n:
         return spark.createDataFrame([], _ANSWER)
+    begun = _begun(queries, pts, n, dims, beam, limit)
     both = written(_merged(graph.mapInArrow(_backward, _GRAPH), 2 * degree), "graph")
     entries = pts.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toPandas()
     first = entries["id"].to_numpy(np.int64), np.frombuffer(b"".join(entries["v"]), np.float32).reshape(-1, dims)
@@ -438,12 +494,12 @@ def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, dims: int, top:
             near = np.searchsorted(ids, np.frombuffer(r["nb"], np.int64))
             nb[np.searchsorted(ids, r["id"]), : len(near)] = near
         sent = spark.sparkContext.broadcast((ids, x, nb, np.searchsorted(ids, first[0])))
-        return queries.select("id", "v").repartition("id").mapInArrow(lambda it: _search_here(it, sent.value, beam, top), _ANSWER)
+        return begun.repartition("id").mapInArrow(lambda it: _search_here(it, sent.value, beam, top), _ANSWER)
     one_way = both.mapInArrow(_edges, "key bigint, member bigint, new tinyint, forward tinyint").filter("forward = 1")
     lists = one_way.join(pts.select(F.col("id").alias("member"), "v"), "member").repartition("key").sortWithinPartitions("key")
     adjacent = written(lists.select("key", "member", "v").mapInArrow(_adjacency, "node bigint, nbs binary, xs binary"), "adjacency")
     sent = spark.sparkContext.broadcast(first)
-    state = written(queries.select("id", "v").mapInArrow(lambda it: _start(it, sent.value, beam), _STATE), "search")
+    state = written(begun.mapInArrow(lambda it: _start(it, sent.value, beam), _STATE), "search")
     while True:
         step = state.mapInArrow(lambda it: _open(it, EXPAND), "node bigint, id bigint, v binary")
         if step.isEmpty():

@@ -126,6 +126,32 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest_neighbours(odd.filter("false")).count() == 0
 
 
+def test_neighbours_recall_on_many_tight_clusters(spark):
+    r = np.random.default_rng(4)
+    x = (np.repeat(r.normal(size=(200, 16)), 40, 0) + 0.05 * r.normal(size=(8000, 16))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+
+    def recall(answers, asked):
+        got = answers.toPandas().groupby("vec_id").neighbour_id.apply(set)
+        out = []
+        for k, v in asked.items():
+            d = ((x - v) ** 2).sum(1)
+            if k < len(x):
+                d[k] = np.inf
+            out.append(len(set(np.argpartition(d, 10)[:10].tolist()) & got.get(k, set())) / 10)
+        return np.mean(out)
+
+    nodes = {k: x[k] for k in range(0, 8000, 20)}
+    assert recall(neighbours.nearest_neighbours(vectors), nodes) >= 0.9
+    pts, dims = neighbours.points(vectors)
+    graph = neighbours.build_graph(pts, dims)
+    foreign = {10_000 + k: x[k] + np.float32(0.01) for k in range(0, 8000, 40)}
+    asked = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in {**nodes, **foreign}.items()], "id long, v binary")
+    for limit in (64 << 20, 0):
+        got = neighbours.search(asked, pts, graph, dims, limit=limit).cache()
+        assert recall(got, nodes) >= 0.9 and recall(got, foreign) >= 0.9
+
+
 def test_quality_keeps_good_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     y = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
