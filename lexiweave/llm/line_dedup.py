@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from lexiweave.llm import _text as tx
 from lexiweave.llm._spark import bloom, table, written
 
-#: Lines of fewer characters are never dropped: short ones are alike by chance, and headings and brackets recur.
+#: Lines of fewer characters are not matched one edit apart: short ones are alike by chance.
 MIN_CHARS = 20
+#: Lines of as many characters are matched if equal: all but blank ones.
+EXACT_CHARS = 1
 #: Lengths of the pieces that an edit may leave whole.
 _STEPS = np.unique(np.round(4 * 1.25 ** np.arange(90)).astype(np.int64))
 #: Keys of one bucket; the number of buckets grows with the input, the work in one does not.
@@ -195,11 +197,11 @@ def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, wanted: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), pa.array(text, pa.string())], names=["h", "g", "text"])
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, line_no (from 0), first_doc_id, first_line_no, edits of every line that an earlier line repeats.
 
-    Lines are compared without the white space around them and in lower case; those of fewer than `min_chars` characters
-    are left alone. A line is a duplicate if any line before it in the order (doc_id, line_no) is equal (edits 0) or one
+    Lines are compared without the white space around them and in lower case; those of fewer than `exact_chars`
+    characters (`min_chars` if None) are left alone, and those of fewer than `min_chars` can only be equal. A line is a duplicate if any line before it in the order (doc_id, line_no) is equal (edits 0) or one
     insertion, deletion or substitution away (edits 1); of these the earliest is given, and edits says how far it is.
 
     Equal lines meet by hash. For the others, lines first meet by what one edit must leave whole of them. Only lines
@@ -209,8 +211,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Rows with a null doc_id or text have no lines; rows that repeat a doc_id are taken together, and of lines with the
     same doc_id and number the earliest stays in each; other columns are ignored; an empty table gives an empty table.
     """
+    least = min_chars if exact_chars is None else exact_chars
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    occurrences = written(pairs.mapInArrow(lambda it: _line_rows(it, min_chars), _ROWS), "lines")
+    occurrences = written(pairs.mapInArrow(lambda it: _line_rows(it, least), _ROWS), "lines")
     distinct = written(occurrences.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "distinct-lines")
     buckets = 1 + 8 * distinct.count() // BUCKET_KEYS
     ends = pairs.mapInArrow(lambda it: _packed(_end_keys(it, min_chars), buckets), _PACKED)
@@ -263,10 +266,10 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
 
-def drop_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = EXACT_CHARS) -> DataFrame:
     """The documents without the lines that duplicate_lines() lists; a document that loses a line and has no other
     words is dropped. n_chars, if there is such a column, is set to the length of a shortened text."""
-    drop = duplicate_lines(docs, min_chars).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("line_no").alias("__line_drop"))
+    drop = duplicate_lines(docs, min_chars, exact_chars).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("line_no").alias("__line_drop"))
     joined = docs.join(drop, docs["doc_id"] == drop["__line_doc"], "left").drop("__line_doc")
     out = joined.mapInArrow(lambda it, at=docs.columns.index("text"): _cut(it, at), docs.schema)
     if "n_chars" in docs.columns:
@@ -275,7 +278,7 @@ def drop_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFra
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(table(spark, sf_dir, "documents"))
+    return duplicate_lines(table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS)
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}

@@ -87,6 +87,15 @@ def test_lines_against_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_short_lines_are_matched_if_equal(spark, tmp_path):
+    rows = [(1, "Les.\n\nAnd ornd.\nLez.", "en"), (2, " les. \n\nonly here\nAnd ornd.", "en"), (3, "Les.", "en")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(2, 0, 1, 0, 0), (2, 3, 1, 2, 0), (3, 0, 1, 0, 0)}
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.drop_duplicate_lines(docs(spark, rows)).collect()}
+    assert kept == {1: rows[0][1], 2: "\nonly here"}
+
+
 def test_jaccard_against_brute_force(spark):
     r = random.Random(6)
     base = [[r.choice("kilo mega giga tera peta exa zeta".split()) + str(r.randrange(50)) for _ in range(60)] for _ in range(12)]
