@@ -173,7 +173,9 @@ def flag(pages: DataFrame, cascade: DataFrame, shards: int, limit: int = BROADCA
     return out.unionAll(rows.filter("key is null").withColumn("listed", F.lit(False)))
 
 
-SPAM_HOSTS = r"(^|\.)(cheap-pills|casino-win)\."
+#: The junk hosts of pages, under whatever ending and with any subdomain.
+JUNK_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+SPAM_HOSTS = rf"(^|\.)({'|'.join(JUNK_HOSTS)})\."
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,12 @@ def test_url_cascade_is_exact(spark):
         assert got.filter("listed <> (key like '%7')").count() == 0 and got.count() == 3000
     none = spark.createDataFrame([(None, None), (1, "")], "page_id long, url string")
     assert url_filter.flag(none, cascade, shards).filter("listed").count() == 0
+
+
+def test_urls_of_all_junk_hosts_are_listed(spark, tmp_path):
+    junk = ["www.cheap-pills.example.com", "m.casino-win.example.org", "free-bets.example.com", "m.ads-track.example.com", "www.spam-farm.example.org", "blog.adult-x.example.net"]
+    good = ["blog.therly.example.net", "my-ads-track.example.com", "spam-farms.example.com"]
+    rows = [(i, f"https://{host}/a") for i, host in enumerate(junk + good)] + [(99, "http://blog.therly.example.net/free-bets.html")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"] for r in url_filter.op10_url_filter(spark, str(tmp_path)).collect() if r["listed"]}
+    assert got == set(range(len(junk)))
