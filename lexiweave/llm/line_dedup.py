@@ -211,6 +211,11 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: in
     Rows with a null doc_id or text have no lines; rows that repeat a doc_id are taken together, and of lines with the
     same doc_id and number the earliest stays in each; other columns are ignored; an empty table gives an empty table.
     """
+    return _with_hashes(docs, min_chars, exact_chars).drop("h", "g").distinct()
+
+
+def _with_hashes(docs: DataFrame, min_chars: int, exact_chars: int | None) -> DataFrame:
+    """The rows of duplicate_lines() with the hashes of each line."""
     least = min_chars if exact_chars is None else exact_chars
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     occurrences = written(pairs.mapInArrow(lambda it: _line_rows(it, least), _ROWS), "lines")
@@ -244,32 +249,35 @@ def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, cl
     return (
         hit.withColumns({"first": first, "edits": F.when(F.col("before") < F.col("at"), 1).otherwise(0)})
         .filter("first < me")
-        .select(F.col("me.doc_id").alias("doc_id"), F.col("me.line_no").alias("line_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits")
-        .distinct()
+        .select(F.col("me.doc_id").alias("doc_id"), F.col("me.line_no").alias("line_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits", "h", "g")
     )
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, drop = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-        out, keep = [], []
-        for t, d in zip(texts, drop):
-            if d:
-                gone = set(d)
-                rest = [x for i, x in enumerate(t.split("\n")) if i not in gone]
-                out.append("\n".join(rest))
-                keep.append(any(map(str.strip, rest)))
-            else:
-                out.append(t)
-                keep.append(True)
-        cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for b in tx.slices(whole, "text", tx.SLICE):
+            out, drop = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            some, keep = [i for i, d in enumerate(drop) if d], [True] * len(out)
+            cp, off = tx.codepoints(b.column(at).take(pa.array(some, pa.int64())))
+            doc, _, s, e = lines(cp, off)
+            h, g = (x.view(np.int64).tolist() for x in _hashes(tx.lowered(cp), *_trimmed(cp, s, e)))
+            first = np.searchsorted(doc, np.arange(len(some))).tolist()
+            for i, k in zip(some, first):
+                if out[i] is None:
+                    continue
+                gone, every = {(d["line_no"], d["h"], d["g"]) for d in drop[i]}, out[i].split("\n")
+                rest = [x for n, x in enumerate(every) if (n, h[k + n], g[k + n]) not in gone]
+                if len(rest) < len(every):
+                    out[i], keep[i] = "\n".join(rest), any(map(str.strip, rest))
+            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
 
 def drop_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = EXACT_CHARS) -> DataFrame:
-    """The documents without the lines that duplicate_lines() lists; a document that loses a line and has no other
+    """The documents without the lines that duplicate_lines() lists, each where its own text is that of a duplicate, as
+    rows that repeat a doc_id may differ; a document that loses a line and has no other
     words is dropped. n_chars, if there is such a column, is set to the length of a shortened text."""
-    drop = duplicate_lines(docs, min_chars, exact_chars).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("line_no").alias("__line_drop"))
+    drop = _with_hashes(docs, min_chars, exact_chars).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set(F.struct("line_no", "h", "g")).alias("__line_drop"))
     joined = docs.join(drop, docs["doc_id"] == drop["__line_doc"], "left").drop("__line_doc")
     out = joined.mapInArrow(lambda it, at=docs.columns.index("text"): _cut(it, at), docs.schema)
     if "n_chars" in docs.columns:

@@ -96,6 +96,12 @@ def test_short_lines_are_matched_if_equal(spark, tmp_path):
     assert kept == {1: rows[0][1], 2: "\nonly here"}
 
 
+def test_lines_are_cut_only_from_rows_that_have_them(spark):
+    rows = [(1, f"{LONG}one", "en"), (2, f"{LONG}one\nwords of one row", "en"), (2, "this stands nowhere else\nwords of another", "en"), (2, None, "en")]
+    kept = [r["text"] for r in line_dedup.drop_duplicate_lines(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0][1], "words of one row", rows[2][1], None], key=str)
+
+
 def test_jaccard_against_brute_force(spark):
     r = random.Random(6)
     base = [[r.choice("kilo mega giga tera peta exa zeta".split()) + str(r.randrange(50)) for _ in range(60)] for _ in range(12)]
