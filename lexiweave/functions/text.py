@@ -43,9 +43,10 @@ def drop_empty(tokens: Column) -> Column:
 def tokenize(text: Column, lower: bool = True) -> Column:
     r"""Split at every ASCII non-word character; null and empty texts have no tokens.
 
-    Lower-casing keeps non-word characters what they are, so it is done once on the whole text.
+    Tokens are lower-cased after the split: some letters that are no ASCII word characters have a lower case that is.
     """
-    return F.coalesce(drop_empty(F.split(F.lower(text) if lower else text, r"\W")), F.array().cast("array<string>"))
+    tokens = drop_empty(F.split(text, r"\W"))
+    return F.coalesce(F.transform(tokens, F.lower) if lower else tokens, F.array().cast("array<string>"))
 
 
 def term_key(field: Column, token: Column) -> Column:

@@ -14,7 +14,7 @@ def document_scores(vectors: DataFrame, weights: DataFrame, digits: int = 6) ->
 def best_label(docs: DataFrame, scores: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, predicted: the label with the largest score of 0 or more, the last by id of equals; the first label of
     all if there is none."""
-    top = scores.filter("score >= 0").join(F.broadcast(labels), "label").groupBy("doc_id").agg(F.max_by("label", F.struct("score", "label_id")).alias("top"))
+    top = scores.filter("score >= 0").join(labels, "label").groupBy("doc_id").agg(F.max_by("label", F.struct("score", "label_id")).alias("top"))
     default = labels.filter("label_id = 0").select(F.col("label").alias("_first"))
     return docs.select("doc_id").join(top, "doc_id", "left").crossJoin(F.broadcast(default)).select("doc_id", F.coalesce("top", "_first").alias("predicted"))
 
@@ -26,7 +26,7 @@ def best_labels(scores: DataFrame, labels: DataFrame, ratio: float, digits: int
         raise ValueError("the ratio must be in (0, 1]")
     w = Window.partitionBy("doc_id")
     scaled = F.round(F.try_divide(F.col("score") - F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)), digits)
-    kept = scores.withColumn("scaled", scaled).filter(F.col("scaled") >= ratio).join(F.broadcast(labels), "label")
+    kept = scores.withColumn("scaled", scaled).filter(F.col("scaled") >= ratio).join(labels, "label")
     return kept.groupBy("doc_id", "scaled").agg(F.max_by("label", "label_id").alias("label")).select("doc_id", "label", "scaled")
 
 

@@ -11,40 +11,70 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.functions.session import kept
 from lexiweave.functions.text import Scheme, drop_empty, normalize_label, normalize_token, term_key
 
-#: Documents whose first-seen terms are numbered in one task.
-ID_STRIDE = 1024
+_NO_TOKENS = "array<string>"
+
+
+def _tokens(docs: DataFrame) -> Column:
+    """The tokens of a row as they are counted; null arrays are empty."""
+    return F.transform(drop_empty(F.coalesce("tokens", F.array().cast(_NO_TOKENS))), normalize_token)
+
+
+def runs(rows: DataFrame, items: str, key=lambda x: x) -> DataFrame:
+    """`rows` with a column `runs`, array<struct<item, occ>>, of the runs of equal keys in the sorted array `items`.
+
+    A document is counted within its own row, so nothing is shuffled; each step is a projection of its own, lest an
+    array be sorted anew for each of its elements.
+    """
+    bounds = rows.withColumn("_n", F.size(items)).withColumn(
+        "_at", F.when(F.col("_n") > 0, F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (key(F.get(items, i)) != key(F.get(items, i - 1))))).otherwise(F.array().cast("array<int>"))
+    )
+    each = F.transform("_at", lambda x, j: F.struct(F.get(items, x).alias("item"), (F.coalesce(F.get("_at", j + 1), F.col("_n")) - x).cast("bigint").alias("occ")))
+    return bounds.withColumn("runs", each).drop("_n", "_at", items)
+
+
+def exploded(rows: DataFrame, array: str | Column, name: str, *others: str) -> DataFrame:
+    """`others` and each element of an array as `name`. Of a plain explode the optimiser infers that the array is not
+    empty, and computes it twice (or, where it is used within itself, once for each element) to check that."""
+    return rows.select(*others, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, token, occ."""
-    exploded = docs.select("doc_id", F.explode(drop_empty("tokens")).alias("token"))
-    return exploded.withColumn("token", normalize_token(F.col("token"))).groupBy("doc_id", "token").agg(F.count("*").alias("occ"))
+    """doc_id, token, occ; a row of docs is a document."""
+    return counts_and_totals(docs).drop("n_tokens")
 
 
 def token_totals(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens of every document, empty ones too; tokens that no lexicon knows are counted."""
-    return docs.select("doc_id", F.size(drop_empty(F.coalesce("tokens", F.array().cast("array<string>")))).alias("n_tokens"))
+    return docs.select("doc_id", F.size(drop_empty(F.coalesce("tokens", F.array().cast(_NO_TOKENS)))).alias("n_tokens"))
 
 
 def counts_and_totals(docs: DataFrame) -> DataFrame:
-    """doc_id, token, occ, n_tokens, with the total carried through the one aggregation."""
-    clean = docs.select("doc_id", drop_empty("tokens").alias("tokens"))
-    exploded = clean.select("doc_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
-    return exploded.withColumn("token", normalize_token(F.col("token"))).groupBy("doc_id", "n_tokens", "token").agg(F.count("*").alias("occ")).select("doc_id", "token", "occ", "n_tokens")
+    """doc_id, token, occ, n_tokens, counted within each document's row."""
+    rows = docs.select("doc_id", F.array_sort(_tokens(docs)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
+    each = exploded(runs(rows, "_tokens"), "runs", "r", "doc_id", "n_tokens")
+    return each.select("doc_id", F.col("r.item").alias("token"), "r.occ", "n_tokens")
+
 
+def field_totals(docs: DataFrame) -> DataFrame:
+    """doc_id, field, n_tokens; a field that a document repeats is one field."""
+    return docs.select("doc_id", F.explode(_field_totals()).alias("field", "n_tokens"))
 
-def field_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, field, token; a field that a document repeats is one field."""
-    f = docs.select("doc_id", F.posexplode("fields").alias("pos", "f")).select("doc_id", "pos", F.col("f.name").alias("field"), drop_empty(F.col("f.tokens")).alias("tokens"))
-    return f.select("doc_id", "pos", "field", F.explode("tokens").alias("token")).withColumn("token", normalize_token(F.col("token")))
 
+def _field_totals() -> Column:
+    """A map from the names of a document's fields to their tokens."""
+    names = F.array_distinct(F.transform("fields", lambda f: f["name"]))
+    size = lambda f: F.size(drop_empty(F.coalesce(f["tokens"], F.array().cast(_NO_TOKENS)))).cast("bigint")
+    total = lambda n: F.aggregate(F.filter("fields", lambda f: f["name"] == n), F.lit(0).cast("bigint"), lambda t, f: t + size(f))
+    return F.map_from_entries(F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n: F.struct(n, total(n))))
 
-def field_totals(docs: DataFrame) -> DataFrame:
-    """doc_id, field, n_tokens."""
-    f = docs.select("doc_id", F.explode("fields").alias("f")).select("doc_id", F.col("f.name").alias("field"), F.size(drop_empty(F.col("f.tokens"))).alias("n"))
-    return f.groupBy("doc_id", "field").agg(F.sum("n").alias("n_tokens"))
+
+def _field_terms() -> Column:
+    """The keys of a document's tokens with the place and name of their field."""
+    of = lambda f, i: F.transform(drop_empty(F.coalesce(f["tokens"], F.array().cast(_NO_TOKENS))), lambda t: F.struct(term_key(f["name"], normalize_token(t)).alias("key"), i.alias("pos"), f["name"].alias("field")))
+    return F.flatten(F.transform(F.coalesce("fields", F.array().cast("array<struct<name:string,tokens:array<string>>>")), of))
 
 
 def field_counts(docs: DataFrame) -> DataFrame:
@@ -52,42 +82,43 @@ def field_counts(docs: DataFrame) -> DataFrame:
 
     Pairs whose keys are equal are one term, of the field that comes first in the document.
     """
-    t = field_tokens(docs).withColumn("token", term_key(F.col("field"), F.col("token")))
-    per_field = t.groupBy("doc_id", "token", "field").agg(F.count("*").alias("occ"), F.min("pos").alias("pos"))
-    merged = per_field.groupBy("doc_id", "token").agg(F.sum("occ").alias("occ"), F.min_by("field", "pos").alias("field"))
-    return merged.join(field_totals(docs), ["doc_id", "field"]).select("doc_id", "field", "token", "occ", "n_tokens")
+    rows = docs.select("doc_id", _field_totals().alias("_totals"), F.array_sort(_field_terms()).alias("_terms"))
+    each = exploded(runs(rows, "_terms", lambda x: x["key"]), "runs", "r", "doc_id", "_totals")
+    return each.select("doc_id", F.col("r.item.field").alias("field"), F.col("r.item.key").alias("token"), "r.occ", F.element_at("_totals", F.col("r.item.field")).alias("n_tokens"))
 
 
-def number(df: DataFrame, bucket: Column, order: list[str], name: str, start: int) -> DataFrame:
-    """Dense ids in the order of `order`, of which `bucket` must be a non-decreasing function.
+def number(df: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
+    """Dense ids in the order of `order`, which must tell rows apart.
 
-    Rows are numbered inside their bucket, each in its own task, and shifted by the rows of the buckets before; only
-    the table of bucket sizes goes through one task.
+    Rows are sorted by ranges and written with their place within the range; what goes through one task is the table of
+    range sizes, as long as there are partitions. Ids are 32-bit: more than 2**31 rows are an error.
     """
-    b = df.withColumn("_bucket", bucket)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = b.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return b.withColumn("_nth", nth).join(shift, "_bucket").withColumn(name, (F.col("_nth") + F.col("_before") + start - 1).cast("int")).drop("_bucket", "_nth", "_before")
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    nth = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(shift), part == F.col("_part")).withColumn(name, (nth + F.col("_before") + start).cast("int")).select(*df.columns, name)
 
 
-def term_table(counts: DataFrame) -> DataFrame:
-    """token, attr_id (from 1), df from doc-term counts: ids by first document, then by term."""
-    terms = counts.groupBy("token").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("df"))
-    return number(terms, F.floor(F.col("first_doc") / ID_STRIDE), ["first_doc", "token"], "attr_id", 1).select("token", "attr_id", "df")
+def term_table(docs: DataFrame) -> DataFrame:
+    """token, attr_id (from 1), df of flat or multi-field documents: ids by first document, then by term."""
+    distinct = F.array_distinct(F.transform(_field_terms(), lambda x: x["key"]) if "fields" in docs.columns else _tokens(docs))
+    terms = exploded(docs, distinct, "token", "doc_id").groupBy("token").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("df"))
+    return number(terms, ["first_doc", "token"], "attr_id", 1).select("token", "attr_id", "df")
 
 
 def label_table(docs: DataFrame) -> DataFrame:
     """label (normalised), label_id from 0 in the order of first sight."""
     seen = docs.filter("label is not null").groupBy(normalize_label(F.col("label")).alias("label")).agg(F.min("doc_id").alias("first_doc"))
-    return number(seen, F.floor(F.col("first_doc") / ID_STRIDE), ["first_doc", "label"], "label_id", 0).select("label", "label_id")
+    return number(seen, ["first_doc", "label"], "label_id", 0).select("label", "label_id")
 
 
 def field_table(docs: DataFrame) -> DataFrame:
     """field, field_id from 0 in the order of first sight."""
     f = docs.select("doc_id", F.posexplode("fields").alias("pos", "f")).select("doc_id", "pos", F.col("f.name").alias("field"))
     seen = f.groupBy("field").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("field", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("pos"))
-    return number(seen, F.floor(F.col("first_doc") / ID_STRIDE), ["first_doc", "pos"], "field_id", 0).select("field", "field_id")
+    return number(seen, ["first_doc", "pos"], "field_id", 0).select("field", "field_id")
 
 
 def prune_by_docfreq(terms: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
@@ -99,7 +130,7 @@ def prune_by_docfreq(terms: DataFrame, least: int = 1, most: int | None = None)
 def compact(terms: DataFrame) -> DataFrame:
     """token, old_id, new_id: ids 1..k in the order of terms."""
     t = terms.select("token", F.col("attr_id").alias("old_id"))
-    return number(t, F.substring("token", 1, 2), ["token"], "new_id", 1)
+    return number(t, ["token"], "new_id", 1)
 
 
 def compacted(terms: DataFrame) -> DataFrame:
@@ -117,16 +148,15 @@ class Lexicon:
     doc_num: int = 0
     scheme: Scheme = Scheme.FREQUENCY
     field_schemes: tuple[tuple[str, Scheme], ...] = ()
-    normalize: bool = False
+    normalize: bool = False  # whether vectors() divides by the length of the vector
     classifier: str = ""
 
     @classmethod
     def fit(cls, docs: DataFrame, scheme: str | Scheme = Scheme.FREQUENCY, **settings) -> Lexicon:
-        """Every document counts in doc_num, empty ones too."""
+        """Every document counts in doc_num, empty ones too. The tables are written, each from one scan of what it needs."""
         multi = "fields" in docs.columns
-        counts = field_counts(docs) if multi else term_counts(docs)
         return cls(
-            term_table(counts), label_table(docs) if "label" in docs.columns else None, field_table(docs) if multi else None,
+            term_table(docs), label_table(docs) if "label" in docs.columns else None, field_table(docs) if multi else None,
             docs.count(), Scheme.parse(scheme), **settings,
         )
 

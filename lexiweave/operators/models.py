@@ -1,37 +1,39 @@
-"""Linear classifiers over weighted vectors, their evaluation by folds, and a look into their weights."""
+"""Classifiers over weighted vectors: training, scoring by joins, folds, files, and a look into their weights."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.functions.session import kept
+from lexiweave.functions.session import delete_path, kept, scratch_path
 from lexiweave.functions.text import dead_zone
 from lexiweave.operators import evaluate, scorers
+from lexiweave.operators.fourier import fourier_features
 from lexiweave.operators.lexicon import Lexicon
+from lexiweave.operators.parameters import Parameters
 from lexiweave.operators.weighting import vectors
 
-LEARNERS = {"svc": LinearSVC, "logreg": LogisticRegression}
-
-
-def ml_vectors(long: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, features: sparse vectors with id 1 in place 0, and an empty one for documents without features."""
-    sparse = F.udf(lambda f: Vectors.sparse(size, [(x[0] - 1, x[1]) for x in f or ()]), VectorUDT())
-    rows = long.filter(F.col("attr_id") <= size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("attr_id", "value"))).alias("f"))
-    return docs.select("doc_id").join(rows, "doc_id", "left").select("doc_id", sparse("f").alias("features"))
+KINDS = ("svc", "logreg", "l1-logreg", "rbf")
+#: Random features that stand for an RBF kernel.
+FOURIER_DIMS = 512
 
 
 @dataclass
 class Learner:
-    """Fits a lexicon, selects terms and trains one linear classifier for each label.
+    """Fits a lexicon, selects terms and trains one classifier for each label against the rest.
 
-    cost: C of the penalised loss; Spark's regularisation is 1 / (C n). top_n: terms kept by log-likelihood ratio, all
-    if negative.
+    kind: svc (linear, hinge loss), logreg, l1-logreg, or rbf: a C-SVC with a Gaussian kernel by random Fourier
+    features. cost: C of the penalised loss; Spark's regularisation is 1 / (C n). top_n: terms kept by log-likelihood
+    ratio, all if negative. bias: the value of one more feature that all documents have, none below 0. weights: by label
+    id, how much a document of this label counts. probability: fit a sigmoid to the decision values of each label.
     """
 
     kind: str = "svc"
@@ -41,58 +43,206 @@ class Learner:
     min_df: int = 1
     iterations: int = 20
     field_schemes: dict[str, str] = field(default_factory=dict)
+    bias: float = -1.0
+    gamma: float = 0.0
+    probability: bool = False
+    weights: dict[int, float] = field(default_factory=dict)
+    normalize: bool = False
+    tolerance: float = 1e-6
+    dims: int = FOURIER_DIMS
+
+    @classmethod
+    def of(cls, parameters: str | None = None, library: str = "kernel", **settings) -> Learner:
+        """From a trainer's option string; -v n is for cross_validate()."""
+        p = Parameters.parse(parameters, library)
+        return cls(p.kind, cost=p.cost, bias=p.bias, gamma=p.gamma, probability=p.probability, weights=p.weights, **settings)
 
     def lexicon(self, docs: DataFrame) -> Lexicon:
-        lexicon = Lexicon.fit(docs, self.scheme, classifier=self.kind)
+        lexicon = Lexicon.fit(docs, self.scheme, classifier=self.kind, normalize=self.normalize)
         for name, scheme in self.field_schemes.items():
             lexicon = lexicon.with_field_scheme(name, scheme)
-        lexicon = replace(lexicon.pruned(self.min_df), labels=kept(lexicon.labels, "labels"))
-        lexicon = replace(lexicon, terms=kept(lexicon.terms, "terms"))
+        lexicon = lexicon.pruned(self.min_df)
         if self.top_n > 0:
             scores = scorers.log_likelihood(vectors(docs, lexicon), docs.select("doc_id", "label").dropna())
-            best = scorers.select_best(lexicon.terms, scores, self.top_n)
-            lexicon = lexicon.restricted(best)
+            lexicon = lexicon.restricted(scorers.select_best(lexicon.terms, scores, self.top_n))
         lexicon = lexicon.compacted()
         return replace(lexicon, terms=kept(lexicon.terms, "terms"))
 
-    def fit(self, docs: DataFrame) -> Classifier:
-        """docs: doc_id, tokens or fields, label. At least two labels are needed."""
-        if self.kind not in LEARNERS:
+    def fit(self, docs: DataFrame, vector_path: str | None = None) -> Classifier:
+        """docs: doc_id, tokens or fields, label. At least two labels are needed. Vectors are written for the trainer,
+        at `vector_path` if they are to stay."""
+        if self.kind not in KINDS:
             raise ValueError(f"unknown learner: {self.kind!r}")
-        from lexiweave.sources.corpus import _labelled
-
         known = docs.filter("label is not null")
         lexicon = self.lexicon(known)
-        names = [r["label"] for r in lexicon.labels.orderBy("label_id").collect()]
-        if len(names) < 2:
+        labels = [r["label"] for r in lexicon.labels.orderBy("label_id").collect()]
+        if len(labels) < 2:
             raise ValueError("at least two labels are needed")
         size = lexicon.terms.agg(F.max("attr_id")).first()[0] or 1
-        rows = ml_vectors(vectors(known, lexicon), known, size).join(_labelled(known, lexicon), "doc_id").select("features", F.col("label_id").cast("double").alias("label"))
-        rows = kept(rows, "vectors")
-        base = LEARNERS[self.kind](maxIter=self.iterations, regParam=1 / (self.cost * max(lexicon.doc_num, 1)), standardization=False, fitIntercept=False)
-        return Classifier(lexicon, names, size, OneVsRest(classifier=base).fit(rows))
+        shell = Classifier(lexicon, labels, size, None, [0.0] * len(labels), self.kind, self.bias, self.gamma or 1 / size, self.dims)
+        rows = shell._training_rows(known, vector_path or scratch_path(docs.sparkSession, "vectors"))
+        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, w in self.weights.items() for x in (float(k), float(w))]), F.col("label")), F.lit(1.0)) if self.weights else F.lit(1.0)
+        rows = rows.withColumn("weight", weight)
+        settings = dict(maxIter=self.iterations, regParam=1 / (self.cost * max(lexicon.doc_num, 1)), standardization=False, fitIntercept=self.kind == "rbf", tol=self.tolerance, weightCol="weight")
+        if self.kind.endswith("logreg"):
+            base = LogisticRegression(elasticNetParam=1.0 if self.kind == "l1-logreg" else 0.0, **settings)
+        else:
+            base = LinearSVC(**settings)
+        trained = OneVsRest(classifier=base, weightCol="weight").fit(rows)
+        w = np.array([m.coefficients.toArray() for m in trained.models])
+        some = np.flatnonzero(np.any(w != 0, 0))
+        table = pa.table({"attr_id": pa.array(some + 1, pa.int32()), "w": pa.array(list(w.T[some]), pa.list_(pa.float64()))})
+        out = replace(shell, weights=kept(docs.sparkSession.createDataFrame(table), "weights"), intercepts=[float(m.intercept) for m in trained.models])
+        if self.kind.endswith("logreg"):
+            return replace(out, sigmoids=[(1.0, 0.0)] * len(labels))
+        return replace(out, sigmoids=out._calibrated(known)) if self.probability else out
 
 
 @dataclass
 class Classifier:
+    """weights: attr_id, w array<double> by label, or for rbf by random feature instead of attribute."""
+
     lexicon: Lexicon
     labels: list[str]
     size: int
-    model: OneVsRestModel
+    weights: DataFrame | None
+    intercepts: list[float]
+    kind: str = "svc"
+    bias: float = -1.0
+    gamma: float = 0.0
+    dims: int = FOURIER_DIMS
+    sigmoids: list[tuple[float, float]] | None = None
+    loaded_at: tuple[str, int] | None = None
+
+    def _vectors(self, docs: DataFrame) -> DataFrame:
+        """doc_id, attr_id, value: for rbf the random features, with the bias as one more."""
+        v = vectors(docs, self.lexicon).filter(F.col("attr_id") <= self.size)
+        if self.bias >= 0:
+            v = v.unionByName(docs.select("doc_id", F.lit(self.size + 1).alias("attr_id"), F.lit(float(self.bias)).alias("value")))
+        return v
+
+    def _features(self) -> int:
+        return self.dims if self.kind == "rbf" else self.size + (self.bias >= 0)
+
+    def _training_rows(self, docs: DataFrame, path: str) -> DataFrame:
+        """label, features, from a file of vectors that is written at `path` and read back."""
+        from lexiweave.sources import corpus as src
+
+        if self.kind == "rbf":
+            z = fourier_features(self._vectors(docs), docs, self.dims, self.gamma)
+            rows = z.join(src.labelled(docs, self.lexicon), "doc_id").select(F.col("label_id").cast("double").alias("label"), "z")
+            rows.write.mode("overwrite").parquet(path)
+            return docs.sparkSession.read.parquet(path).select("label", array_to_vector("z").alias("features"))
+        lines = src.svmlight_lines(self._vectors(docs), docs, self.lexicon)
+        src.write_lines(lines, path, "overwrite")
+        return src.read_svmlight(docs.sparkSession, path, self._features())
+
+    def decisions(self, docs: DataFrame) -> DataFrame:
+        """doc_id, scores array<double>: decision values in the order of labels. Terms and fields that the lexicon lacks
+        are left out; a document without known terms has the intercepts."""
+        k = len(self.labels)
+        start = F.array(*[F.lit(x) for x in self.intercepts])
+        if self.kind == "rbf":
+            w = np.zeros((self.dims, k))
+            for r in self.weights.toLocalIterator():  # one row for each of `dims` features
+                w[r["attr_id"] - 1] = r["w"]
+            z = fourier_features(self._vectors(docs), docs, self.dims, self.gamma)
+            dots = [F.aggregate(F.zip_with("z", F.lit(w[:, i].tolist()), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x) + self.intercepts[i] for i in range(k)]
+            return z.select("doc_id", F.array(*dots).alias("scores"))
+        v = self._vectors(docs).join(self.weights, "attr_id")
+        sums = v.groupBy("doc_id").agg(*[F.sum(F.col("value") * F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)])
+        each = F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + self.intercepts[i] for i in range(k)])
+        return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce(each, start).alias("scores"))
+
+    def _calibrated(self, docs: DataFrame) -> list[tuple[float, float]]:
+        """(slope, shift) of the sigmoid of each label, by logistic regression of the label on its decision values."""
+        from lexiweave.sources import corpus as src
+
+        rows = kept(self.decisions(docs).join(src.labelled(docs, self.lexicon), "doc_id").select("scores", "label_id"), "decisions")
+        out = []
+        for i in range(len(self.labels)):
+            one = rows.select((F.col("label_id") == i).cast("double").alias("label"), array_to_vector(F.array(F.col("scores")[i])).alias("features"))
+            m = LogisticRegression(maxIter=50, regParam=1e-6, standardization=False).fit(one)
+            out.append((float(m.coefficients[0]), float(m.intercept)))
+        return out
 
     def scores(self, docs: DataFrame) -> DataFrame:
-        """doc_id, predicted, raw (decision values in the order of labels). Unknown terms and fields are left out."""
-        rows = self.model.transform(ml_vectors(vectors(docs, self.lexicon), docs, self.size))
+        """doc_id, predicted (the label with the largest decision value, the first of equals), scores."""
+        names = F.array(*[F.lit(x) for x in self.labels])
+        d = self.decisions(docs)
+        return d.select("doc_id", F.get(names, F.array_position("scores", F.array_max("scores")).cast("int") - 1).alias("predicted"), "scores")
+
+    def classify(self, docs: DataFrame) -> DataFrame:
+        """doc_id, label, score: a row for each label, with probabilities that add up to 1 if the model has them, else
+        decision values."""
+        d = self.decisions(docs)
+        if self.sigmoids:
+            p = F.array(*[1 / (1 + F.exp(-(F.lit(a) * F.get("scores", F.lit(i)) + F.lit(b)))) for i, (a, b) in enumerate(self.sigmoids)])
+            d = d.select("doc_id", p.alias("scores"))
+            total = F.aggregate("scores", F.lit(0.0), lambda t, x: t + x)
+            d = d.select("doc_id", F.transform("scores", lambda x: F.try_divide(x, total)).alias("scores"))
         names = F.array(*[F.lit(x) for x in self.labels])
-        return rows.select("doc_id", names[F.col("prediction").cast("int")].alias("predicted"), F.col("rawPrediction").alias("raw"))
+        return d.select("doc_id", F.posexplode("scores").alias("label_id", "score")).select("doc_id", F.get(names, F.col("label_id")).alias("label"), "score")
+
+    def one_hot(self, docs: DataFrame) -> DataFrame:
+        """doc_id, label, score: 1 for the predicted label, 0 for the others."""
+        names = F.array(*[F.lit(x) for x in self.labels])
+        return self.scores(docs).select("doc_id", "predicted", F.explode(names).alias("label")).select("doc_id", "label", (F.col("label") == F.col("predicted")).cast("double").alias("score"))
+
+    def attribute_weights(self, top_n: int = -1) -> DataFrame:
+        """attr_id, token, label, score (and rank, if only the top_n of each label are wanted): the weight of every term
+        for every label, small ones as 0. In two-class models each class has weights of its own."""
+        if self.kind == "rbf":
+            raise ValueError("the weights of a kernel model are not those of terms")
+        names = F.array(*[F.lit(x) for x in self.labels])
+        long = self.weights.filter(F.col("attr_id") <= self.size).select("attr_id", F.posexplode("w").alias("i", "score"))
+        long = long.select("attr_id", F.get(names, F.col("i")).alias("label"), dead_zone(F.col("score")).alias("score"))
+        long = long if top_n < 0 else scorers.top_per_label(long, top_n)
+        return long.join(self.lexicon.terms.select("attr_id", "token"), "attr_id").select("attr_id", "token", *[c for c in long.columns if c != "attr_id"])
+
+    def save(self, path: str) -> None:
+        """A folder with the lexicon and the model; what was there goes."""
+        from lexiweave.sources import corpus as src
 
-    def attribute_weights(self) -> DataFrame:
-        """attr_id, token, label, score: the weight of every term for every label, small ones as 0. In two-class models
-        each class has weights of its own."""
         spark = self.lexicon.terms.sparkSession
-        rows = [(i + 1, self.labels[k], float(w)) for k, m in enumerate(self.model.models) for i, w in enumerate(m.coefficients.toArray())]
-        t = spark.createDataFrame(rows, "attr_id int, label string, score double").withColumn("score", dead_zone(F.col("score")))
-        return t.join(self.lexicon.terms.select("attr_id", "token"), "attr_id")
+        delete_path(spark, path)
+        src.save_lexicon(self.lexicon, f"{path}/lexicon")
+        self.weights.write.parquet(f"{path}/model/weights")
+        meta = {k: getattr(self, k) for k in ("labels", "size", "intercepts", "kind", "bias", "gamma", "dims", "sigmoids")}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/model/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Classifier:
+        """From a folder, or a zip file of one, that save() wrote."""
+        from lexiweave.sources import corpus as src
+
+        if path.endswith(".zip"):
+            path = "file://" + src.unpack(path.removeprefix("file://"), src.fresh_folder())
+        for part in ("lexicon", "model"):
+            if modified(spark, f"{path}/{part}") is None:
+                raise FileNotFoundError(f"no {part} in {path}")
+        meta = json.loads(spark.read.text(f"{path}/model/meta").first()["value"])
+        if meta["kind"] not in KINDS:
+            raise ValueError(f"unknown kind of classifier: {meta['kind']!r}")
+        meta["sigmoids"] = meta["sigmoids"] and [tuple(x) for x in meta["sigmoids"]]
+        return cls(src.load_lexicon(spark, f"{path}/lexicon"), weights=spark.read.parquet(f"{path}/model/weights"), loaded_at=(path, modified(spark, f"{path}/lexicon")), **meta)
+
+    def needs_refreshing(self) -> bool:
+        """Whether the lexicon that this was loaded with has been written anew."""
+        return self.loaded_at is not None and modified(self.lexicon.terms.sparkSession, f"{self.loaded_at[0]}/lexicon") != self.loaded_at[1]
+
+
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When the newest file under a path was written, in milliseconds; None if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    newest, files = fs.getFileStatus(at).getModificationTime(), fs.listFiles(at, True)
+    while files.hasNext():
+        newest = max(newest, files.next().getModificationTime())
+    return newest
 
 
 def folds(docs: DataFrame, n: int, seed: int = 7) -> DataFrame:
@@ -112,10 +262,21 @@ def cross_validate(docs: DataFrame, learner: Learner, n: int = 3, seed: int = 7)
     for k in range(n):
         held = d.filter(F.col("fold") == k)
         got = learner.fit(d.filter(F.col("fold") != k).drop("fold")).scores(held.drop("fold"))
-        parts.append(got.join(held.select("doc_id", "fold", F.col("label").alias("expected")), "doc_id").select("doc_id", "fold", "expected", "predicted"))
+        parts.append(kept(got.join(held.select("doc_id", "fold", F.col("label").alias("expected")), "doc_id").select("doc_id", "fold", "expected", "predicted"), "scored"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def report(predictions: DataFrame) -> DataFrame:
     """Support, precision and recall by label with the accuracy over all."""
     return evaluate.precision_recall(predictions)
+
+
+def misclassified(predictions: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id, expected, predicted, terms (array<struct<token, value>>, the heaviest first) of documents that got another
+    label than expected."""
+    wrong = predictions.filter("predicted <> expected").select("doc_id", "expected", "predicted")
+    named = vectors(docs.join(wrong.select("doc_id"), "doc_id", "left_semi"), lexicon).join(lexicon.terms.select("attr_id", "token"), "attr_id")
+    terms = named.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "token"))), lambda x: F.struct(x["token"].alias("token"), (-x["v"]).alias("value"))).alias("terms"))
+    return wrong.join(terms, "doc_id", "left")
+
+

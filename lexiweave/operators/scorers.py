@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.functions.session import kept
+
 
 def contingency(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """attr_id, label, total: weights summed by cell, with the marginals (label null), (attr_id null) and both null.
@@ -15,8 +17,9 @@ def contingency(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cells(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """attr_id, label, o, ta, tc, t: every non-zero cell with its row, column and grand totals."""
-    o = vectors.join(labels, "doc_id").filter("value <> 0").groupBy("attr_id", "label").agg(F.sum("value").alias("o"))
+    """attr_id, label, o, ta, tc, t: every non-zero cell with its row, column and grand totals. The cells are written, so
+    that vectors are read once."""
+    o = kept(vectors.join(labels, "doc_id").filter("value <> 0").groupBy("attr_id", "label").agg(F.sum("value").alias("o")), "cells")
     rows = Window.partitionBy("attr_id")
     column = o.groupBy("label").agg(F.sum("o").alias("tc"))
     grand = column.agg(F.sum("tc").alias("t"))
@@ -56,9 +59,10 @@ def select_best(terms: DataFrame, scores: DataFrame, n: int, digits: int | None
     than n; unscored terms count as -1. The n-th best comes from a bounded sort, so no task sees all terms."""
     if n < 1:
         raise ValueError("n must be positive")
-    s = terms.join(scores.select("attr_id", "score"), "attr_id", "left").fillna(-1.0, ["score"])
+    s = terms.select("token", "attr_id", "df").join(scores.select("attr_id", "score"), "attr_id", "left").fillna(-1.0, ["score"])
     if digits is not None:
         s = s.withColumn("score", F.round("score", digits))
+    s = kept(s, "scores")
     return s.crossJoin(F.broadcast(nth_score(s, n).withColumnRenamed("score", "_least"))).filter("score >= _least").drop("_least")
 
 

@@ -33,7 +33,7 @@ def field_weighted(counts: DataFrame, lexicon: Lexicon, keep_zeros: bool = False
     """As weighted(), from multi-field counts: each field by its own scheme or the default; fields that the lexicon
     lacks and zero weights are left out."""
     if lexicon.fields is not None:
-        counts = counts.join(F.broadcast(lexicon.fields.select("field")), "field", "left_semi")
+        counts = counts.join(lexicon.fields.select("field"), "field", "left_semi")
     s = F.lit(lexicon.scheme.value)
     for name, own in lexicon.field_schemes:
         s = F.when(F.col("field") == name, own.value).otherwise(s)
@@ -41,14 +41,14 @@ def field_weighted(counts: DataFrame, lexicon: Lexicon, keep_zeros: bool = False
     return out if keep_zeros else out.filter("value <> 0")
 
 
-def vectors(docs: DataFrame, lexicon: Lexicon, scheme: str | Scheme | None = None, l2: bool = False) -> DataFrame:
+def vectors(docs: DataFrame, lexicon: Lexicon, scheme: str | Scheme | None = None, l2: bool | None = None) -> DataFrame:
     """doc_id, attr_id, value of documents under a fitted lexicon, which may know other documents.
 
-    Multi-field documents take their schemes from the lexicon alone.
+    Multi-field documents take their schemes from the lexicon alone; l2 is the lexicon's `normalize` if not given.
     """
     out = field_weighted(field_counts(docs), lexicon) if "fields" in docs.columns else weighted(counts_and_totals(docs), lexicon, scheme)
     out = out.select("doc_id", "attr_id", "value")
-    return l2_normalized(out) if l2 else out
+    return l2_normalized(out) if (lexicon.normalize if l2 is None else l2) else out
 
 
 def l2_normalized(vectors: DataFrame) -> DataFrame:

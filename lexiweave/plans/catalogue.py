@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.functions.session import kept, spread
 from lexiweave.functions.stemmer import stem_terms
 from lexiweave.functions.text import Scheme, sigmoid, tokenize
 from lexiweave.operators import corpus, evaluate, models, scorers
@@ -19,14 +20,14 @@ TOP, MIN_DF, MAX_DF, DENSE, SAMPLE = 200, 3, 200, 50, 100
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("label"), tokenize(F.col("text")).alias("tokens"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select("doc_id", F.col("lang").alias("label"), tokenize(F.col("text")).alias("tokens"))
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document a conversation, a field a role."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("conv_id", "doc_id")
     each = F.struct("turn", F.struct(F.col("role").alias("name"), tokenize(F.col("text")).alias("tokens")).alias("f"))
-    return turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["f"]).alias("fields"))
+    return turns.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["f"]).alias("fields"))
 
 
 def _weights(spark, sf_dir, scheme, l2=False):
@@ -46,7 +47,7 @@ def _fields(spark, sf_dir, own=()):
 def _scored(spark, sf_dir, scheme=Scheme.FREQUENCY):
     docs = _documents(spark, sf_dir)
     lexicon = lx.Lexicon.fit(docs, scheme)
-    return docs, lexicon, wt.vectors(docs, lexicon), docs.select("doc_id", "label")
+    return docs, lexicon, kept(wt.vectors(docs, lexicon), "vectors"), docs.select("doc_id", "label")
 
 
 def _scores(spark, sf_dir, scorer, scheme=Scheme.FREQUENCY):
@@ -71,12 +72,12 @@ def _lines(spark, sf_dir, format, n=None, scheme="occurrences"):
 
 def _judged(spark, sf_dir):
     docs, lexicon, v, labels = _scored(spark, sf_dir)
-    return docs, lexicon, evaluate.document_scores(v, scorers.cell_scores(v, labels))
+    return docs, lexicon, kept(evaluate.document_scores(v, scorers.cell_scores(v, labels)), "judged")
 
 
 def _predicted(spark, sf_dir):
     docs, lexicon, scores = _judged(spark, sf_dir)
-    return evaluate.best_label(docs, scores, lexicon.labels).join(docs.select("doc_id", F.col("label").alias("expected")), "doc_id")
+    return kept(evaluate.best_label(docs, scores, lexicon.labels), "predicted").join(docs.select("doc_id", F.col("label").alias("expected")), "doc_id")
 
 
 def _roundtrip(spark, sf_dir):
@@ -102,7 +103,7 @@ def _pruned(spark, sf_dir, literal):
 def _closed(spark, sf_dir):
     """A lexicon of documents, applied to pages."""
     fitted = lx.Lexicon.fit(_documents(spark, sf_dir), "tfidf")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), tokenize(F.col("html")).alias("tokens"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").select(F.col("page_id").alias("doc_id"), tokenize(F.col("html")).alias("tokens"))
     return wt.vectors(pages, fitted).select("doc_id", "attr_id", F.round("value", 6).alias("value"))
 
 
@@ -137,7 +138,7 @@ def _training(spark, sf_dir):
 _Q = {
     "tokenize_documents": lambda s, d: lx.term_counts(_documents(s, d)),
     "doc_token_totals": lambda s, d: lx.token_totals(_documents(s, d)),
-    "lexicon_build": lambda s, d: lx.term_table(lx.term_counts(_documents(s, d))),
+    "lexicon_build": lambda s, d: lx.term_table(_documents(s, d)),
     "lexicon_sizes": _sizes,
     "lexicon_lines": lambda s, d: src.lexicon_lines(lx.Lexicon.fit(_documents(s, d))).select("line"),
     "label_index": lambda s, d: lx.label_table(_documents(s, d)),
@@ -148,8 +149,8 @@ _Q = {
     "multifield_field_totals": lambda s, d: lx.field_totals(_conversations(s, d)),
     "multifield_tfidf": _fields,
     "multifield_custom_scheme": partial(_fields, own=(("system", "boolean"), ("user", "occurrences"))),
-    "prune_docfreq": lambda s, d: lx.prune_by_docfreq(lx.term_table(lx.term_counts(_documents(s, d))), MIN_DF, MAX_DF),
-    "lexicon_compact": lambda s, d: lx.compact(lx.prune_by_docfreq(lx.term_table(lx.term_counts(_documents(s, d))), MIN_DF, MAX_DF)),
+    "prune_docfreq": lambda s, d: lx.prune_by_docfreq(lx.term_table(_documents(s, d)), MIN_DF, MAX_DF),
+    "lexicon_compact": lambda s, d: lx.compact(lx.prune_by_docfreq(lx.term_table(_documents(s, d)), MIN_DF, MAX_DF)),
     "pruned_vectors": partial(_pruned, literal=False),
     "pruned_vectors_compat": partial(_pruned, literal=True),
     "classify_time_vectors": _closed,
@@ -169,7 +170,7 @@ _Q = {
     "corpus_sample": lambda s, d: corpus.sample(_ids(s, d), SAMPLE),
     "corpus_split_complement": lambda s, d: corpus.complement(_ids(s, d), corpus.sample(_ids(s, d), SAMPLE)),
     "best_label": lambda s, d: _predicted(s, d).select("doc_id", "predicted"),
-    "best_labels_ratio": lambda s, d: evaluate.best_labels(_judged(s, d)[2], _judged(s, d)[1].labels, 0.5),
+    "best_labels_ratio": lambda s, d: (lambda _, lexicon, scores: evaluate.best_labels(scores, lexicon.labels, 0.5))(*_judged(s, d)),
     "platt_sigmoid": lambda s, d: _judged(s, d)[2].select("doc_id", "label", F.round(sigmoid(F.col("score")), 6).alias("probability")),
     "confusion_matrix": lambda s, d: evaluate.confusion(_predicted(s, d)),
     "precision_recall": lambda s, d: evaluate.precision_recall(_predicted(s, d)),
@@ -181,7 +182,7 @@ _Q = {
     "cross_validation_logreg": lambda s, d: models.report(_validated(s, d, "logreg")),
 }
 
-_BASE = r"""WITH d AS (SELECT doc_id, lang AS label, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\W'), lambda x: length(x) > 0) AS tokens FROM documents),
+_BASE = r"""WITH d AS (SELECT doc_id, lang AS label, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\W'), lambda x: length(x) > 0), lambda x: lower(x)) AS tokens FROM documents),
 tot AS (SELECT doc_id, label, CAST(len(tokens) AS INTEGER) AS n_tokens FROM d),
 tc AS (SELECT doc_id, token, count(*) AS occ FROM (SELECT doc_id, unnest(tokens) AS token FROM d) GROUP BY ALL),
 lex AS (SELECT token, CAST(row_number() OVER (ORDER BY first_doc, token) AS INTEGER) AS attr_id, df FROM (SELECT token, min(doc_id) AS first_doc, count(*) AS df FROM tc GROUP BY token)),
@@ -200,7 +201,7 @@ best AS (SELECT d.doc_id, d.label AS expected, coalesce(x.top, (SELECT label FRO
 """
 _TOP = ", ranked AS (SELECT token, attr_id, df, round(coalesce(score, -1), 6) AS score FROM lex LEFT JOIN llr USING (attr_id)), sel AS (SELECT * FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS r FROM ranked) WHERE r <= {0})"
 _NEW = ", ids AS (SELECT attr_id, CAST(row_number() OVER (ORDER BY token) AS INTEGER) AS id FROM sel)"
-_FIELDS = r"""WITH c AS (SELECT conv_id AS doc_id, turn, role AS field, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\W'), lambda x: length(x) > 0) AS tokens FROM conversations),
+_FIELDS = r"""WITH c AS (SELECT conv_id AS doc_id, turn, role AS field, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\W'), lambda x: length(x) > 0), lambda x: lower(x)) AS tokens FROM conversations),
 ft AS (SELECT doc_id, field, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM c GROUP BY ALL),
 fc AS (SELECT doc_id, field, field || '_' || token AS token, count(*) AS occ FROM (SELECT doc_id, field, unnest(tokens) AS token FROM c) GROUP BY ALL),
 lex AS (SELECT token, CAST(row_number() OVER (ORDER BY first_doc, token) AS INTEGER) AS attr_id, df FROM (SELECT token, min(doc_id) AS first_doc, count(*) AS df FROM fc GROUP BY token)),
@@ -232,7 +233,7 @@ _SQL = {
     "pruned_vectors": _BASE + _PRUNED + "SELECT doc_id, new_id AS attr_id, round(frequency, 6) AS value FROM w JOIN comp ON old_id = attr_id",
     "pruned_vectors_compat": _BASE + _PRUNED + """SELECT doc_id, attr_id, round(CASE WHEN inside THEN frequency ELSE 0 END, 6) AS value FROM (SELECT w.*, kept.attr_id IS NOT NULL AS inside,
  row_number() OVER (PARTITION BY doc_id ORDER BY w.attr_id) AS pos, count(kept.attr_id) OVER (PARTITION BY doc_id) AS k FROM w LEFT JOIN kept ON kept.attr_id = w.attr_id) WHERE pos <= k""",
-    "classify_time_vectors": _BASE + r""", p AS (SELECT page_id AS doc_id, list_filter(regexp_split_to_array(lower(coalesce(html, '')), '\W'), lambda x: length(x) > 0) AS tokens FROM pages),
+    "classify_time_vectors": _BASE + r""", p AS (SELECT page_id AS doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(html, ''), '\W'), lambda x: length(x) > 0), lambda x: lower(x)) AS tokens FROM pages),
  pc AS (SELECT doc_id, n_tokens, token, count(*) AS occ FROM (SELECT doc_id, len(tokens) AS n_tokens, unnest(tokens) AS token FROM p) GROUP BY ALL)
  SELECT doc_id, attr_id, round(occ / n_tokens * ln(n / df), 6) AS value FROM pc JOIN lex USING (token), nn""",
     "contingency_matrix": _BASE + "SELECT attr_id, label, round(sum(frequency), 6) AS total FROM w GROUP BY CUBE (attr_id, label)",

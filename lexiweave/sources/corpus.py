@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import zipfile
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.functions.text import Scheme
+from lexiweave.functions.session import kept
+from lexiweave.functions.text import Scheme, normalize_label
+from lexiweave.operators import scorers
 from lexiweave.operators.lexicon import Lexicon, counts_and_totals, field_counts, field_totals, token_totals
+from lexiweave.operators.weighting import weight
 
 _FEATURES = "array<struct<attr_id:int,occ:bigint,field_id:int>>"
 
 
-def _labelled(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def labelled(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, label, label_id; documents without a label have a null id."""
-    from lexiweave.functions.text import normalize_label
-
     if lexicon.labels is None or "label" not in docs.columns:
         return docs.select("doc_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("label_id"))
     named = docs.select("doc_id", normalize_label(F.col("label")).alias("label"))
-    return named.join(F.broadcast(lexicon.labels), "label", "left").select("doc_id", "label", "label_id")
+    return named.join(lexicon.labels, "label", "left").select("doc_id", "label", "label_id")
 
 
 def simple_lines(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, line: kind, label id (0 if there is none), token total, then id:occurrences by id, set apart by tabs."""
     known = counts_and_totals(docs).join(lexicon.terms, "token")
     features = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("attr_id", "occ"))).alias("f"))
-    rows = token_totals(docs).join(_labelled(docs, lexicon), "doc_id").join(features, "doc_id", "left")
+    rows = token_totals(docs).join(labelled(docs, lexicon), "doc_id").join(features, "doc_id", "left")
     parts = F.transform(F.coalesce("f", F.array().cast("array<struct<attr_id:int,occ:bigint>>")), lambda x: F.concat_ws(":", x["attr_id"], x["occ"]))
     total = F.col("n_tokens").cast("double").cast("string")
     return rows.select("doc_id", F.concat_ws("\t", F.lit("SimpleDocument"), F.coalesce("label_id", F.lit(0)).cast("string"), total, parts).alias("line"))
@@ -40,14 +44,14 @@ def multifield_lines(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None =
 
     keep: names of the fields whose tokens and features are written; others have 0 tokens.
     """
-    fields = F.broadcast(lexicon.fields)
+    fields = lexicon.fields
     wanted = F.lit(True) if keep is None else F.col("field").isin(keep)
     count = lexicon.fields.agg(F.max("field_id")).first()[0]
     n_fields = 0 if count is None else count + 1
     known = field_counts(docs).filter(wanted).join(lexicon.terms, "token").join(fields, "field")
     features = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("attr_id", "occ", "field_id"))).alias("f"))
     totals = field_totals(docs).filter(wanted).join(fields, "field").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "n_tokens"))).alias("t"))
-    rows = _labelled(docs, lexicon).join(totals, "doc_id", "left").join(features, "doc_id", "left")
+    rows = labelled(docs, lexicon).join(totals, "doc_id", "left").join(features, "doc_id", "left")
     each = F.transform(F.sequence(F.lit(0), F.lit(n_fields - 1)), lambda i: F.coalesce(F.try_element_at("t", i), F.lit(0)).cast("double").cast("string")) if n_fields else F.array().cast("array<string>")
     parts = F.transform(F.coalesce("f", F.array().cast(_FEATURES)), lambda x: F.concat_ws(":", x["attr_id"], x["occ"], x["field_id"]))
     return rows.select("doc_id", F.concat_ws("\t", F.lit("MultiFieldDocument"), F.coalesce("label_id", F.lit(0)).cast("string"), F.lit(str(n_fields)), each, parts).alias("line"))
@@ -82,41 +86,113 @@ def write_lines(lines: DataFrame, path: str, mode: str = "append") -> None:
     lines.select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
+def append_raw(lines: DataFrame, path: str) -> int:
+    """Append rendered documents to a raw corpus, whose lines are all read first; the number of documents in it after.
+    A corpus of which no line is a document is not one, and is left alone."""
+    spark, before = lines.sparkSession, 0
+    if exists(spark, path):
+        text = kept(spark.read.text(path), "raw")
+        before = parse_lines(text.withColumnRenamed("value", "line")).count()
+        if not before and not text.isEmpty():
+            raise ValueError(f"not a raw corpus: {path}")
+    lines = kept(lines.select("line"), "lines")
+    write_lines(lines, path)
+    return before + lines.count()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def kept_fields(parsed: DataFrame, keep: list[int], literal: bool = False) -> DataFrame:
+    """Parsed multi-field documents with only some fields, by id: of the others the totals are 0 and features go. Flat
+    documents stay. literal: as a search by place in the sorted list has it, where every field from the least id kept on
+    passes."""
+    wanted = lambda i: i >= min(keep) if literal else i.isin(keep)
+    multi = F.col("kind") == "MultiFieldDocument"
+    return parsed.withColumns({
+        "totals": F.when(multi, F.transform("totals", lambda t, i: F.when(wanted(i), t).otherwise(0.0))).otherwise(F.col("totals")),
+        "features": F.when(multi, F.filter("features", lambda x: wanted(x["field_id"]))).otherwise(F.col("features")),
+    })
+
+
+def render_lines(parsed: DataFrame) -> DataFrame:
+    """The line of each parsed document."""
+    multi = F.col("kind") == "MultiFieldDocument"
+    totals = F.transform("totals", lambda t: t.cast("string"))
+    size = F.when(multi, F.array(F.size("totals").cast("string"))).otherwise(F.array().cast("array<string>"))
+    parts = F.transform("features", lambda x: F.when(multi, F.concat_ws(":", x["attr_id"], x["occ"], x["field_id"])).otherwise(F.concat_ws(":", x["attr_id"], x["occ"])))
+    others = [c for c in parsed.columns if c not in ("kind", "label_id", "totals", "features")]
+    return parsed.select(*others, F.concat_ws("\t", "kind", F.col("label_id").cast("string"), size, totals, parts).alias("line"))
+
+
+def raw_vectors(parsed: DataFrame, lexicon: Lexicon, scheme: str | Scheme | None = None) -> DataFrame:
+    """doc_id, attr_id, value of parsed documents (with a doc_id) under a lexicon; attributes that it lacks are left out.
+
+    Flat documents take `scheme` or the lexicon's; multi-field ones the lexicon's, field by field, without zeros.
+    """
+    multi = F.col("kind") == "MultiFieldDocument"
+    each = parsed.select("doc_id", "kind", "totals", F.explode("features").alias("f")).select("doc_id", "kind", "totals", "f.*")
+    each = each.select("doc_id", "kind", "attr_id", "occ", "field_id", F.get("totals", F.when(multi, F.col("field_id")).otherwise(0)).alias("n_tokens"))
+    each = each.join(lexicon.terms.select("attr_id", "df"), "attr_id")
+    own = F.lit(lexicon.scheme.value)
+    if lexicon.fields is not None and lexicon.field_schemes:
+        each = each.join(lexicon.fields, "field_id", "left")
+        for name, s in lexicon.field_schemes:
+            own = F.when(F.col("field") == name, s.value).otherwise(own)
+    n = F.lit(lexicon.doc_num)
+    flat = weight(F.lit(Scheme.parse(scheme or lexicon.scheme).value), n, False)
+    value = F.when(multi, weight(own, n, True)).otherwise(flat)
+    return each.select("doc_id", "attr_id", value.alias("value"), multi.alias("_multi")).filter("not _multi or value <> 0").drop("_multi")
+
+
 def _features(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("attr_id", "value"))).alias("f"))
 
 
 def svmlight_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, line: label id, two blanks, id:value by id. Documents without features have none after the blanks."""
-    rows = _labelled(docs, lexicon).join(_features(vectors), "doc_id", "left")
+    return _svmlight(labelled(docs, lexicon), vectors)
+
+
+def _svmlight(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    rows = rows.join(_features(vectors), "doc_id", "left")
     parts = F.transform(F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")), lambda x: F.concat_ws(":", x["attr_id"], x["value"]))
     return rows.select("doc_id", F.concat(F.coalesce("label_id", F.lit(0)).cast("string"), F.lit("  "), F.array_join(parts, " ")).alias("line"))
 
 
-def arff_header(lexicon: Lexicon) -> str:
-    """The relation, the label values and the attributes 1 to the largest id; gaps are named NULL."""
-    labels = ",".join(r["label"] for r in lexicon.labels.orderBy("label_id").collect())
-    names = {r["attr_id"]: r["token"] for r in lexicon.terms.select("attr_id", "token").collect()}
-    shown = lambda t: " ".join(t.split()).replace('"', "&quote;").removesuffix("\\")
-    attributes = "\n".join(f'@attribute "i_{i}_{shown(names.get(i, "NULL"))}"  NUMERIC' for i in range(1, max(names, default=0) + 1))
-    return f"@relation dataset\n\n@attribute label {{{labels}}}\n{attributes}\n\n@data\n"
+def arff_header(lexicon: Lexicon) -> DataFrame:
+    """ord, line: the relation, the label values, and the attributes 1 to the largest id, of which gaps are named NULL."""
+    spark = lexicon.terms.sparkSession
+    labels = lexicon.labels.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label_id", "label"))), lambda x: x["label"]), ",").alias("x"))
+    n = lexicon.terms.agg(F.max("attr_id")).first()[0] or 0
+    names = spark.range(1, n + 1).select(F.col("id").cast("int").alias("attr_id")).join(lexicon.terms.select("attr_id", "token"), "attr_id", "left")
+    shown = F.regexp_replace(F.replace(F.trim(F.regexp_replace(F.coalesce("token", F.lit("NULL")), r"\s+", " ")), F.lit('"'), F.lit("&quote;")), r"\\$", "")
+    attributes = names.select((F.col("attr_id") + 3).cast("long").alias("ord"), F.concat(F.lit('@attribute "i_'), F.col("attr_id").cast("string"), F.lit("_"), shown, F.lit('"  NUMERIC')).alias("line"))
+    fixed = spark.createDataFrame([(0, "@relation dataset"), (1, ""), (n + 4, ""), (n + 5, "@data")], "ord long, line string")
+    named = labels.select(F.lit(2).cast("long").alias("ord"), F.concat(F.lit("@attribute label {"), "x", F.lit("}")).alias("line"))
+    return fixed.unionAll(named).unionAll(attributes)
 
 
 def arff_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, line: a sparse row with the label in place 0."""
-    rows = _labelled(docs, lexicon).join(_features(vectors), "doc_id", "left")
+    rows = labelled(docs, lexicon).join(_features(vectors), "doc_id", "left")
     parts = F.transform(F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")), lambda x: F.concat_ws(" ", x["attr_id"], x["value"]))
     first = F.array(F.concat(F.lit("0 "), F.col("label")))
     return rows.select("doc_id", F.concat(F.lit("{"), F.array_join(F.concat(first, parts), ", "), F.lit("}")).alias("line"))
 
 
 def uci_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, line: the label and the values of ids 1 to the largest, set apart by commas."""
+    """doc_id, line: the label and the values of ids 1 to the largest, set apart by commas. The zeros between two
+    features are one repeated string, so a line takes as long as it is."""
     n = lexicon.terms.agg(F.max("attr_id")).first()[0] or 0
-    dense = vectors.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("attr_id", "value"))).alias("m"))
-    rows = _labelled(docs, lexicon).join(dense, "doc_id", "left")
-    values = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("string")) if n else F.array().cast("array<string>")
-    return rows.select("doc_id", F.concat_ws(",", "label", values).alias("line"))
+    rows = labelled(docs, lexicon).join(_features(vectors.filter(F.col("attr_id") <= n)), "doc_id", "left").withColumn("f", F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")))
+    before = lambda i: F.coalesce(F.get("f", i - 1)["attr_id"], F.lit(0))
+    values = F.transform("f", lambda x, i: F.concat(F.repeat(F.lit(",0.0"), x["attr_id"] - before(i) - 1), F.lit(","), x["value"].cast("string")))
+    rest = F.repeat(F.lit(",0.0"), F.lit(n) - F.when(F.size("f") > 0, F.element_at("f", -1)["attr_id"]).otherwise(0))
+    whole = F.concat(F.array_join(values, ""), rest)
+    return rows.select("doc_id", F.when(F.col("label").isNull(), F.substring(whole, 2, 2**31 - 1)).otherwise(F.concat("label", whole)).alias("line"))
 
 
 def vector_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon, format: str = "svmlight") -> DataFrame:
@@ -130,16 +206,70 @@ def read_svmlight(spark: SparkSession, path: str, features: int | None = None) -
     return (reader.option("numFeatures", str(features)) if features else reader).load(path)
 
 
-def lexicon_lines(lexicon: Lexicon, scores: DataFrame | None = None) -> DataFrame:
-    """token, line: term, id, document frequency and, if given, score (-1 for terms without one)."""
+def lexicon_lines(lexicon: Lexicon, scores: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """token, line: term, id, document frequency and, if given, weight (terms of weight 0 or none are left out) and score
+    (-1 for terms without one). scores: attr_id, score; weights: attr_id, weight."""
     t = lexicon.terms
-    extra = []
+    extra: list[Column] = []
+    if weights is not None:
+        t = t.join(weights.filter("weight <> 0").select("attr_id", F.col("weight").alias("_weight")), "attr_id")
+        extra.append(F.col("_weight").cast("string"))
     if scores is not None:
         t = t.join(scores.select("attr_id", F.col("score").alias("_score")), "attr_id", "left")
-        extra = [F.coalesce("_score", F.lit(-1.0)).cast("string")]
+        extra.append(F.coalesce("_score", F.lit(-1.0)).cast("string"))
     return t.select("token", F.concat_ws("\t", "token", F.col("attr_id").cast("string"), F.col("df").cast("string"), *extra).alias("line"))
 
 
+def lexicon_header(lexicon: Lexicon) -> DataFrame:
+    """ord, line: documents, scheme, whether vectors are normalised, classifier, labels, fields with their own schemes;
+    each label and field has a blank after it, so names with blanks cannot be told apart (save_lexicon() keeps them)."""
+    spark = lexicon.terms.sparkSession
+    listed = lambda t, by, of: t.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, of.alias("x")))), lambda x: F.concat(x["x"], F.lit(" "))), "").alias("line"))
+    none = spark.createDataFrame([("",)], "line string")
+    own = F.lit("")
+    for name, s in lexicon.field_schemes:
+        own = F.when(F.col("field") == name, ":" + s.name).otherwise(own)
+    labels = none if lexicon.labels is None else listed(lexicon.labels, "label_id", F.col("label"))
+    fields = none if lexicon.fields is None else listed(lexicon.fields, "field_id", F.concat("field", own))
+    first = [(0, str(lexicon.doc_num)), (1, lexicon.scheme.value), (2, str(lexicon.normalize).lower()), (3, lexicon.classifier)]
+    at = lambda t, k: t.select(F.lit(k).cast("long").alias("ord"), "line")
+    return spark.createDataFrame(first, "ord long, line string").unionAll(at(labels, 4)).unionAll(at(fields, 5))
+
+
+def write_lexicon_text(lexicon: Lexicon, path: str, scores: DataFrame | None = None, weights: DataFrame | None = None) -> None:
+    """The header and the terms in order, as text files that are one lexicon file if put together by name."""
+    terms = lexicon_lines(lexicon, scores, weights).select(F.lit(6).cast("long").alias("ord"), "token", "line")
+    header = lexicon_header(lexicon).select("ord", F.lit("").alias("token"), "line")
+    header.unionAll(terms).orderBy("ord", "token").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """Of a text file, or of the first file by name of a folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", ".")))
+        at = jvm.org.apache.hadoop.fs.Path(at, names[0])
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+    try:
+        return [reader.readLine() or "" for _ in range(n)]
+    finally:
+        reader.close()
+
+
+def read_lexicon_text(spark: SparkSession, path: str) -> Lexicon:
+    """A lexicon file or folder: six header lines, then term, id, document frequency; further columns are ignored."""
+    documents, scheme, normal, classifier, labels, fields = _first_lines(spark, path, 6)
+    p = F.split("value", "\t")
+    terms = spark.read.text(path).filter(F.size(p) >= 3).select(p[0].alias("token"), p[1].cast("int").alias("attr_id"), p[2].cast("bigint").alias("df"))
+    label_rows = [(x, i) for i, x in enumerate(labels.split(" ")[:-1])]
+    field_rows = [(x.split(":")[0], i) for i, x in enumerate(fields.split(" ")) if x]
+    own = tuple((x.split(":")[0], Scheme.parse(x.split(":")[1])) for x in fields.split(" ") if ":" in x)
+    table = lambda rows, schema: spark.createDataFrame(rows, schema) if rows else None
+    return Lexicon(terms, table(label_rows, "label string, label_id int"), table(field_rows, "field string, field_id int"), int(documents), Scheme.parse(scheme), own, normal.lower() == "true", classifier)
+
+
 def save_lexicon(lexicon: Lexicon, path: str) -> None:
     """As Parquet tables, which keep any label and field name whole."""
     lexicon.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -185,21 +315,78 @@ def unpack(archive: str, folder: str) -> str:
     return str(root / tops.pop()) if len(tops) == 1 else str(root)
 
 
+def fresh_folder() -> str:
+    """A folder on the driver's machine, for what only the driver reads; it goes when the driver ends."""
+    path = tempfile.mkdtemp(prefix="lexiweave-model-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 @dataclass(frozen=True)
 class Options:
-    """How a raw corpus is vectorised again."""
+    """How a raw corpus is vectorised again: with the top_n terms by log-likelihood ratio, or, if top_n is negative,
+    with those that min_df to max_df documents have."""
 
-    scheme: str = "frequency"
+    scheme: str = "tfidf"
     top_n: int = -1
     min_df: int = 1
     max_df: int | None = None
     compact: bool = False
     format: str = "svmlight"
+    vectors: str | None = None
+    lexicon: str | None = None
+
+    #: Names of properties files, and the fields that they set.
+    NAMES = {
+        "classification_weight_scheme": "scheme", "keepNBestAttributes": "top_n", "classification_minFreq": "min_df", "classification_maxFreq": "max_df",
+        "compact.attribute.nums": "compact", "format": "format", "vector_location": "vectors", "new_lexicon_file": "lexicon",
+    }
 
     @classmethod
     def of(cls, text: str) -> Options:
-        """From lines `name = value`."""
-        pairs = [x.split("=", 1) for x in text.splitlines() if "=" in x and not x.lstrip().startswith("#")]
-        given = {k.strip(): v.strip() for k, v in pairs}
-        number = {k: int(given[k]) for k in ("top_n", "min_df", "max_df") if given.get(k)}
-        return cls(**({k: given[k] for k in ("scheme", "format") if k in given} | number | {"compact": given.get("compact", "false").lower() == "true"}))
+        """From lines `name = value` or `name: value`, by either name; lines that begin with # or ! are comments."""
+        given: dict = {}
+        for line in map(str.strip, text.splitlines()):
+            cut = min((i for i in (line.find("="), line.find(":")) if i > 0), default=0)
+            name = line[:cut].strip()
+            name = cls.NAMES.get(name, name)
+            if not cut or line[0] in "#!" or name not in cls.__dataclass_fields__:
+                continue
+            value = line[cut + 1 :].strip()
+            given[name] = value.lower() == "true" if name == "compact" else int(value) if name in ("top_n", "min_df", "max_df") else value
+        return cls(**given)
+
+
+def revectorized(parsed: DataFrame, lexicon: Lexicon, options: Options) -> tuple[DataFrame, Lexicon]:
+    """(doc_id, line of every parsed document; the lexicon as selected)."""
+    lexicon = replace(lexicon, scheme=Scheme.parse(options.scheme))
+    labels = lexicon.labels if lexicon.labels is not None else parsed.select(F.col("label_id").cast("string").alias("label"), "label_id").distinct()
+    known = parsed.select("doc_id", "label_id").join(labels, "label_id", "left")
+    if options.top_n > 0:
+        scores = scorers.log_likelihood(raw_vectors(parsed, lexicon), known.select("doc_id", F.col("label_id").cast("string").alias("label")))
+        lexicon = lexicon.restricted(scorers.select_best(lexicon.terms, scores, options.top_n))
+    else:
+        lexicon = lexicon.pruned(options.min_df, options.max_df)
+    v = raw_vectors(parsed, lexicon)
+    if options.compact:
+        new = lexicon.compacted()
+        ids = lexicon.terms.select("token", F.col("attr_id").alias("old_id")).join(new.terms.select("token", F.col("attr_id").alias("new_id")), "token")
+        v = v.join(ids.select(F.col("old_id").alias("attr_id"), "new_id"), "attr_id").select("doc_id", F.col("new_id").alias("attr_id"), "value")
+        lexicon = new
+    if options.format.lower() in ("arff", "uci"):
+        return vector_lines(v, known, replace(lexicon, labels=labels), options.format), lexicon
+    return _svmlight(known, v), lexicon
+
+
+def revectorize(spark: SparkSession, raw: str, lexicon: str, options: Options) -> None:
+    """From a raw corpus and a lexicon file to vectors at options.vectors and the selected lexicon at options.lexicon."""
+    if not options.vectors:
+        raise ValueError("where the vectors go must be given")
+    parsed = kept(read_raw(spark, raw).withColumn("doc_id", F.monotonically_increasing_id()), "parsed")
+    lines, new = revectorized(parsed, read_lexicon_text(spark, lexicon), options)
+    if options.lexicon:
+        write_lexicon_text(new, options.lexicon)
+    if options.format.lower() == "arff":
+        body = lines.select(F.lit(2**40).alias("ord"), "doc_id", "line")
+        lines = arff_header(new).select("ord", F.lit(0).cast("long").alias("doc_id"), "line").unionAll(body).orderBy("ord", "doc_id")
+    write_lines(lines, options.vectors, "overwrite")

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions.text import tokenize
 from lexiweave.operators.lexicon import Lexicon
-from lexiweave.operators.weighting import weight
+from lexiweave.operators.weighting import vectors
 
 
 def stream_vectors(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, features array<struct<attr_id, value>> of each text (doc_id, text) of a stream; a row is whole in itself,
-    so terms are counted within it and only one join by term is left to each micro-batch."""
-    tokens = texts.select("doc_id", tokenize(F.col("text")).alias("t"))
-    distinct = tokens.select("doc_id", "t", F.size("t").alias("n_tokens"), F.explode(F.array_distinct("t")).alias("token"))
-    counts = distinct.select("doc_id", "token", "n_tokens", F.size(F.filter("t", lambda x: x == F.col("token"))).alias("occ"))
-    s = F.lit(lexicon.scheme.value)
-    return counts.join(lexicon.terms, "token").select("doc_id", "attr_id", weight(s, F.lit(lexicon.doc_num), False).alias("value"))
+    """doc_id, attr_id, value: a row for each known term of each text (doc_id, text) of a stream.
+
+    Terms are counted within the row of their text, so only one join by term is left to each micro-batch. Null and empty
+    texts have no rows.
+    """
+    return vectors(texts.select("doc_id", tokenize(F.col("text")).alias("tokens")), lexicon, l2=False)
