@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiweave.functions.session import discard, scratch_path, shared_dir  # noqa: F401
+from lexiweave.functions.session import kept as written  # noqa: F401
 from lexiweave.llm import _text as tx
 
 #: What is sent to every executor may have this many bytes; beyond, each operator has a way that joins instead.
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return named.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lexiweave-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh_name(name: str, *schemas: list[str]) -> str:
+    """`name`, with underscores before it until no column has it, in any letter case."""
+    taken = {c.lower() for s in schemas for c in s}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
