@@ -411,21 +411,23 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _tile(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """Of a tile's rows: ids in order, sets, documents of each set, chunks; a tile of one chunk has chunk 0 only."""
+    """Of a tile's rows: ids in order, sets, documents of each set, chunks; a tile of a chunk with itself has -1 only."""
     ids = t.column("id").to_numpy()
     ids, first = np.unique(ids, return_index=True)  # of rows that repeat a document, one
     sets = [np.frombuffer(t.column("grams")[int(k)].as_py(), tx.U) for k in first]
-    chunk = np.where(t.column("diagonal").to_numpy()[first], 0, t.column("chunk").to_numpy()[first])
+    chunk = np.where(t.column("diagonal").to_numpy()[first], -1, t.column("chunk").to_numpy()[first])
     return ids, sets, t.column("n").to_numpy()[first], chunk
 
 
 def _similar(ids: np.ndarray, sets: list, chunk: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, overlap) of the similar pairs of a tile, i before j in a tile of one chunk, across them in one of two."""
     size = np.fromiter(map(len, sets), np.float64, len(sets))
-    low = chunk.min(initial=0)
-    one = bool((chunk == low).all())
+    low = chunk.min()
+    one = bool(low < 0)
     a = np.flatnonzero(chunk == low)
     b = a if one else np.flatnonzero(chunk != low)
+    if not len(b):  # the other chunk has no sets
+        return
     for lo, o in overlaps([sets[k] for k in a], [sets[k] for k in b]):
         rows = a[lo : lo + len(o)]
         hit = o >= (threshold / (1 + threshold)) * (size[rows][:, None] + size[b][None, :]) - 1e-9
