@@ -1,4 +1,9 @@
-"""Token counts of a unigram tokenizer by dynamic programming over a trie of distinct pre-tokens."""
+"""Token counts of a unigram tokenizer by dynamic programming over a trie of distinct pre-tokens.
+
+The pieces are those of a public model file. That file holds a byte-pair model, whose scores are minus the merge ranks
+and no log-probabilities, and no file of a unigram model is at hand; tokenizers are not trained here. So the
+log-probability of a piece is taken from its rank by Zipf's law: log p = -log((rank + 1) * log(number of pieces)).
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _GAP = 0x2581  # the sign that stands for a blank
 #: A character without a piece costs this much more than the worst piece, as the public tokenizer library has it.
 UNKNOWN_PENALTY = 10.0
+#: Characters up to which pre-tokens share a trie.
+LONG = 64
 _SPREAD = tx.U(0x9E3779B97F4A7C15)
 _LENGTH = tx.U(0xD6E8FEB86659FD93)  # keeps pieces of different lengths apart
 
@@ -56,10 +63,19 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
+        """The pieces of a model file with log-probabilities: the model's own, or by rank from a byte-pair model, whose
+        scores are whole numbers."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        return cls.of({m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))})
+        own = {m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))}
+        return cls.of(by_rank(own) if all(x == int(x) for x in own.values()) else own)
+
+
+def by_rank(scored: dict[str, float]) -> dict[str, float]:
+    """Log-probabilities by Zipf's law, from scores of which only the order counts."""
+    order = sorted(scored, key=lambda x: (-scored[x], x))
+    return {x: -float(np.log((i + 1) * np.log(max(len(order), 3)))) for i, x in enumerate(order)}
 
 
 def _utf8(cp: np.ndarray) -> np.ndarray:
@@ -73,11 +89,16 @@ def best_counts(cp: np.ndarray, start: np.ndarray, length: np.ndarray, p: Pieces
     level, every new node takes the best of its ancestors' forward scores plus the piece between; the last node of a
     span holds its count. A character that no piece covers costs the worst score less UNKNOWN_PENALTY and counts as its
     UTF-8 bytes. Of equal scores the one with fewer tokens is taken.
+
+    A span of over LONG characters is a trie of one branch: no prefix is shared, so all its pieces are looked up at
+    once and the same recurrence runs along the branch.
     """
     n = len(start)
     tokens, score = np.zeros(n, np.int32), np.zeros(n)
     unknown = p.worst - UNKNOWN_PENALTY
-    bounds = [0, 4, 8, 16, 32, 64, 1 << 62]
+    for i in np.flatnonzero(length > LONG).tolist():
+        tokens[i], score[i] = _branch(cp[start[i] : start[i] + length[i]], p, unknown)
+    bounds = [0, 4, 8, 16, 32, LONG]
     for low, high in zip(bounds[:-1], bounds[1:]):
         rows = np.flatnonzero((length > low) & (length <= high))
         if len(rows):
@@ -92,7 +113,7 @@ def best_counts(cp: np.ndarray, start: np.ndarray, length: np.ndarray, p: Pieces
 def _trie(cp, start, length, width, p, unknown):
     m = np.zeros((len(start), width), np.uint32)
     m[np.arange(width) < length[:, None]] = cp[tx.ragged(start, length)]
-    order = np.lexsort(m.T[::-1]) if width <= 64 else np.argsort(m.byteswap().view(f"S{4 * width}")[:, 0], kind="stable")
+    order = np.lexsort(m.T[::-1])
     m, start, length = m[order], start[order], length[order]
     same = np.zeros((len(m), width), bool)
     same[1:] = np.logical_and.accumulate(m[1:] == m[:-1], axis=1)
@@ -130,6 +151,40 @@ def _trie(cp, start, length, width, p, unknown):
     return tokens, score
 
 
+def _branch(cp: np.ndarray, p: Pieces, unknown: float) -> tuple[int, float]:
+    n = len(cp)
+    ends, lengths, scores = [], [], []
+    for lo in range(0, n, 1 << 20):  # ends of the pieces that are looked up together
+        hi = min(n, lo + (1 << 20))
+        h = np.zeros(hi - lo, tx.U)
+        for k in range(1, min(hi, p.longest) + 1):
+            skip = max(0, k - 1 - lo)  # ends before which there are too few characters
+            h = tx.extend(h[max(0, skip - max(0, k - 2 - lo)) :], cp[lo + skip - k + 1 : hi - k + 1])
+            hit, s = p.find(h, k)
+            ends.append(hit + lo + skip)
+            lengths.append(np.full(len(hit), k))
+            scores.append(s)
+    end, size, score = (np.concatenate(x) for x in (ends, lengths, scores))
+    by = np.lexsort((size, end))
+    at = np.searchsorted(end[by], np.arange(n + 1)).tolist()
+    size, score, cost = size[by].tolist(), score[by].tolist(), _utf8(cp).tolist()
+    best, count = [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(n):
+        lo, hi = at[i], at[i + 1]
+        if lo < hi and size[lo] == 1:  # a character with a piece is never unknown
+            b, c = best[i] + score[lo], count[i] + 1
+            lo += 1
+        else:
+            b, c = best[i] + unknown, count[i] + cost[i]
+        for e in range(lo, hi):
+            k = i + 1 - size[e]
+            x, y = best[k] + score[e], count[k] + 1
+            if x > b or (x == b and y < c):
+                b, c = x, y
+        best[i + 1], count[i + 1] = b, c
+    return count[n], best[n]
+
+
 def pretokens(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(code points with a gap sign for each blank and one before each text, new offsets, starts, ends).
 
@@ -186,8 +241,10 @@ def count_batches(batches: Iterator[pa.RecordBatch], p: Pieces, cache: str) -> I
 
 
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens: the number of pieces in the best unigram segmentation of each whole text under the scores of
-    the public model file at `model` (read on the driver, of fixed size, broadcast). One scan, no shuffle: distinct
+    """doc_id, n_tokens: the number of pieces in the best unigram segmentation of each whole text with the pieces of
+    the public model file at `model` (read on the driver, of fixed size, broadcast) and log-probabilities by their rank,
+    see the head of this module; so counts are near, and not equal, to those of the model's own byte-pair encoder. One
+    scan, no shuffle: distinct
     pre-tokens are inserted in a trie and scored once per shared prefix; a worker keeps the counts of those it has met.
 
     A null text counts null, an empty one 0; repeated rows and null or repeated doc_ids are rows of their own; columns
@@ -195,7 +252,7 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     one with fewer tokens counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: count_batches(it, shared.value, model), "doc_id bigint, n_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: count_batches(it, shared.value, model), "doc_id bigint, n_tokens bigint")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
