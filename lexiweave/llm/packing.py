@@ -18,6 +18,8 @@ from lexiweave.llm._spark import table, written
 CAPACITY = 4096
 #: Tokens of the documents that are packed together; their number grows with the input, the work in one does not.
 BLOCK_TOKENS = 1_000_000
+#: Partitions of the blocks at most, lest a driver must follow too many tasks; beyond, a task packs several blocks.
+MOST_PARTS = 20_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -112,14 +114,36 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Recor
 _OUT = "doc_id bigint, start bigint, n_tokens bigint, window_id bigint, window_tokens bigint"
 
 
+def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With the number of each row among the rows of its batch that are equal to it."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), -1, b.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
+        n = b.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+        by = np.lexsort((n, ids))
+        new = np.ones(len(by), bool)
+        new[1:] = (ids[by][1:] != ids[by][:-1]) | (n[by][1:] != n[by][:-1])
+        first = np.flatnonzero(new)
+        nth = np.empty(len(by), np.int64)
+        nth[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nth)], names=["doc_id", "n_tokens", "nth"])
+
+
 def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The pieces of a table doc_id, n_tokens in windows; see pack()."""
+    """The pieces of a table doc_id, n_tokens in windows; see pack(). `lengths` is read three times, so it should be a
+    written table."""
     if capacity < 1:
         raise ValueError("the capacity must be positive")
+    lengths = lengths.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     blocks = max(1, -(-total // block_tokens))
-    some = lengths.filter("n_tokens > 0").withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(blocks)).cast("int"))
-    packed = some.repartition("block").sortWithinPartitions("block", "doc_id", "n_tokens").mapInArrow(lambda it: _pack(it, capacity), _OUT)
+    # equal rows (null ids, repeated documents) are told apart, lest they all lie in one block
+    some = lengths.filter("n_tokens > 0").mapInArrow(_salted, "doc_id bigint, n_tokens bigint, nth bigint")
+    placed = some.withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens", "nth"), F.lit(blocks)).cast("int"))
+    # a partition is a run of blocks: each is a second's work, so a few for each task
+    parts = min(blocks, MOST_PARTS)
+    packed = placed.repartitionById(parts, F.col("block") % parts).sortWithinPartitions("block", "doc_id", "n_tokens").mapInArrow(lambda it: _pack(it, capacity), _OUT)
     none = F.lit(None).cast("bigint")
     return packed.unionAll(lengths.filter("n_tokens is null or n_tokens = 0").select("doc_id", none, "n_tokens", none, none))
 
@@ -132,7 +156,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, model: str = unigram.MODEL)
     BLOCK_TOKENS tokens, drawn by a hash of the row, so each is packed in one task, and only lengths are shuffled.
 
     Null texts (n_tokens null) and texts without tokens (0) have one row with a null window; repeated rows and null
-    doc_ids are packed as rows of their own; ties are broken by doc_id; other columns are ignored; an empty table gives
+    doc_ids are packed as rows of their own, spread over blocks; ties are broken by doc_id; other columns are ignored; an empty table gives
     an empty table.
     """
     return pack_lengths(written(unigram.token_counts(docs, model), "lengths"), capacity)
