@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiweave.llm import _text as tx
-from lexiweave.llm._spark import bloom, table, written
+from lexiweave.llm._spark import bloom, discard, fresh_name, table, written
 
 #: Lines of fewer characters are not matched one edit apart: short ones are alike by chance.
 MIN_CHARS = 20
@@ -22,6 +22,10 @@ _STEPS = np.unique(np.round(4 * 1.25 ** np.arange(90)).astype(np.int64))
 BUCKET_KEYS = 2_000_000
 _KEY, _ID = 5, 6  # bytes of a key within its bucket, and of the line that has it
 _ID_BITS = (1 << 8 * _ID) - 1
+#: Partitions of the buckets at most; beyond, a task takes several buckets, one after another.
+MOST_PARTS = 20_000
+#: Occurrences of one line from which they are looked up in a broadcast, so that they need not meet in one task.
+HOT = 200_000
 
 
 def _trimmed(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +128,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
             yield group[keep], line[keep]
 
 
-def _end_keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _end_keys(batches: Iterator[pa.RecordBatch], min_chars: int, id_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """What one edit must leave whole in a line, with its length: about three quarters of it, in one of four ways.
 
     Of the halves of a line one stays as it is. If it is the first, then so does a quarter at the other end or the one
@@ -138,7 +142,7 @@ def _end_keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tup
             span = tx.Spans(low)
             h, first = np.unique(span.hash(s, e), return_index=True)  # repeated lines once
             s, e = s[first], e[first]
-            line = h & tx.U(_ID_BITS)
+            line = h & tx.U(id_bits)
             for base in (e - s, e - s - 1):
                 half, rest = step(base // 2), step(base // 4)
                 length = base.astype(tx.U) * tx.U(0x9E3779B97F4A7C15)
@@ -183,68 +187,85 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meeting(packed: DataFrame, buckets: int, reduce, schema: str) -> DataFrame:
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, schema).distinct()
+    parts = min(buckets, MOST_PARTS)
+    return packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(reduce, schema).distinct()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, wanted: np.ndarray, id_bits: int) -> Iterator[pa.RecordBatch]:
     """The trimmed, lower-cased lines that the filter lets through, with their hashes."""
     for whole in batches:
         for b in tx.slices(whole, "text", tx.SLICE):
             _, _, s, e, low = _found(b, min_chars)
             h, g = _hashes(low, s, e)
-            at = np.flatnonzero(tx.maybe(h & tx.U(_ID_BITS), wanted))
+            at = np.flatnonzero(tx.maybe(h & tx.U(id_bits), wanted))
             text = [low[i:j].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(s[at].tolist(), e[at].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), pa.array(text, pa.string())], names=["h", "g", "text"])
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, id_bits: int = _ID_BITS) -> DataFrame:
     """doc_id, line_no (from 0), first_doc_id, first_line_no, edits of every line that an earlier line repeats.
 
     Lines are compared without the white space around them and in lower case; those of fewer than `exact_chars`
-    characters (`min_chars` if None) are left alone, and those of fewer than `min_chars` can only be equal. A line is a duplicate if any line before it in the order (doc_id, line_no) is equal (edits 0) or one
-    insertion, deletion or substitution away (edits 1); of these the earliest is given, and edits says how far it is.
+    characters (`min_chars` if None) are left alone, and those of fewer than `min_chars` can only be equal. A line is a
+    duplicate if any line before it in the order (doc_id, line_no) is equal (edits 0) or one insertion, deletion or
+    substitution away (edits 1); of these the earliest is given, and edits says how far it is.
 
     Equal lines meet by hash. For the others, lines first meet by what one edit must leave whole of them. Only lines
     that have this in common with another emit their deletion neighbourhood as hashed keys; lines with equal keys are
-    joined and verified by edit distance. Keys travel in packed rows of a bucket each, and are sorted there.
+    joined and verified by edit distance. Keys travel in packed rows of a bucket each, with 48 bits of their line's
+    hash; lines that have these bits in common with another are verified against each other too, and what is found is
+    carried under both hashes of the line.
 
     Rows with a null doc_id or text have no lines; rows that repeat a doc_id are taken together, and of lines with the
     same doc_id and number the earliest stays in each; other columns are ignored; an empty table gives an empty table.
     """
-    return _with_hashes(docs, min_chars, exact_chars).drop("h", "g").distinct()
+    return _with_hashes(docs, min_chars, exact_chars, id_bits).drop("h", "g").distinct()
 
 
-def _with_hashes(docs: DataFrame, min_chars: int, exact_chars: int | None) -> DataFrame:
+def _with_hashes(docs: DataFrame, min_chars: int, exact_chars: int | None, id_bits: int = _ID_BITS) -> DataFrame:
     """The rows of duplicate_lines() with the hashes of each line."""
     least = min_chars if exact_chars is None else exact_chars
-    pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    pairs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     occurrences = written(pairs.mapInArrow(lambda it: _line_rows(it, least), _ROWS), "lines")
     distinct = written(occurrences.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "distinct-lines")
     buckets = 1 + 8 * distinct.count() // BUCKET_KEYS
-    ends = pairs.mapInArrow(lambda it: _packed(_end_keys(it, min_chars), buckets), _PACKED)
-    line = F.col("h").bitwiseAND(F.lit(_ID_BITS))
-    close = written(distinct.select("h", "g", "at", line.alias("line")).join(_meeting(ends, buckets, _close, "line bigint"), "line", "left_semi"), "close-lines")
+    ends = pairs.mapInArrow(lambda it: _packed(_end_keys(it, min_chars, id_bits), buckets), _PACKED)
+    line = F.col("h").bitwiseAND(F.lit(id_bits))
+    met = _meeting(ends, buckets, _close, "line bigint").withColumn("met", F.lit(True))
+    twins = F.count("*").over(Window.partitionBy("line"))
+    close = distinct.select("h", "g", "at", line.alias("line")).join(met, "line", "left").withColumn("twins", twins).filter("met or twins > 1").select("h", "g", "at", "line", (F.col("twins") > 1).alias("twin"))
+    close = written(close, "close-lines")
     sent = docs.sparkSession.sparkContext.broadcast(bloom(close.select("line")))
-    read = pairs.mapInArrow(lambda it: _texts(it, min_chars, sent.value), "h bigint, g bigint, text string")
+    read = pairs.mapInArrow(lambda it: _texts(it, min_chars, sent.value, id_bits), "h bigint, g bigint, text string")
     return _duplicates(read, occurrences, distinct, close)
 
 
-def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame) -> DataFrame:
-    texts = written(read.dropDuplicates(["h", "g"]).join(close, ["h", "g"]).select("line", "text", "at"), "close-texts")
+def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame, hot: int = HOT) -> DataFrame:
+    texts = written(read.dropDuplicates(["h", "g"]).join(close, ["h", "g"]).select("h", "g", "line", "twin", "text", "at"), "close-texts")
+    discard(close)
     buckets = 1 + (texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // BUCKET_KEYS
     keys = texts.select("line", "text").mapInArrow(lambda it: _packed(_variants(it), buckets), _PACKED)
-    two = _meeting(keys, buckets, _partners, "x bigint, y bigint")
-    side = lambda n: texts.select(F.col("line").alias(n), F.col("text").alias(f"{n}t"), F.col("at").alias(f"{n}a"))
+    two = _meeting(keys, buckets, _partners, "x bigint, y bigint").unionAll(texts.filter("twin").select(F.col("line").alias("x"), F.col("line").alias("y")).distinct())
+    side = lambda n: texts.select(F.col("line").alias(n), F.col("text").alias(f"{n}t"), F.col("at").alias(f"{n}a"), F.struct("h", "g").alias(f"{n}h"))
     near = (
         two.join(side("x"), "x").join(side("y"), "y")
         .filter(F.levenshtein("xt", "yt", 1) == 1)
-        .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("line"), F.least("xa", "ya").alias("before"))
-        .groupBy("line").agg(F.min("before").alias("before"))
+        .select(F.when(F.col("xa") < F.col("ya"), F.col("yh")).otherwise(F.col("xh")).alias("later"), F.least("xa", "ya").alias("before"))
+        .groupBy("later").agg(F.min("before").alias("before")).select("later.h", "later.g", "before")
     )
-    near = written(near.join(close, "line").select("h", "g", "before"), "near-lines")
+    near = written(near, "near-lines")
+    discard(texts)
     # lines whose text occurs again or is near an earlier one
     marked = distinct.select("h", "g", "at", "n").join(near, ["h", "g"], "left").filter("n > 1 or before is not null")
-    hit = occurrences.select("h", "g", F.struct("doc_id", "line_no").alias("me")).join(marked, ["h", "g"])
+    marked = written(marked, "marked-lines")
+    discard(near)
+    each = occurrences.select("h", "g", F.struct("doc_id", "line_no").alias("me"))
+    # lines that occur very often, of which there can be only so many, are looked up where they stand
+    large = F.broadcast(marked.filter(F.col("n") >= hot).select("h", "g", F.struct("at", "before").alias("_large")))
+    known = each.join(large, ["h", "g"], "left")
+    hit = known.filter("_large is not null").select("h", "g", "me", "_large.at", "_large.before").unionAll(
+        known.filter("_large is null").drop("_large").join(marked.filter(F.col("n") < hot), ["h", "g"]).select("h", "g", "me", "at", "before")
+    )
     first = F.when(F.col("before") < F.col("at"), F.col("before")).otherwise(F.col("at"))
     return (
         hit.withColumns({"first": first, "edits": F.when(F.col("before") < F.col("at"), 1).otherwise(0)})
@@ -275,10 +296,16 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
 
 def drop_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = EXACT_CHARS) -> DataFrame:
     """The documents without the lines that duplicate_lines() lists, each where its own text is that of a duplicate, as
-    rows that repeat a doc_id may differ; a document that loses a line and has no other
-    words is dropped. n_chars, if there is such a column, is set to the length of a shortened text."""
-    drop = _with_hashes(docs, min_chars, exact_chars).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set(F.struct("line_no", "h", "g")).alias("__line_drop"))
-    joined = docs.join(drop, docs["doc_id"] == drop["__line_doc"], "left").drop("__line_doc")
+    rows that repeat a doc_id may differ; a document that loses a line and has no other words is dropped.
+
+    n_chars, if there is such a column, is set to the length of the text, and left alone where that is null. Rows with a
+    null doc_id or text stay as they are, empty and blank texts too; of equal lines that with the least (doc_id, number)
+    stays; of repeated rows each loses the same lines; all columns are kept, whatever their names; an empty table gives
+    an empty table.
+    """
+    of, what = fresh_name("line_doc", docs.columns), fresh_name("line_drop", docs.columns)
+    drop = _with_hashes(docs, min_chars, exact_chars).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("line_no", "h", "g")).alias(what))
+    joined = docs.join(drop, docs["doc_id"] == drop[of], "left").drop(of)
     out = joined.mapInArrow(lambda it, at=docs.columns.index("text"): _cut(it, at), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -294,10 +321,10 @@ ORACLES = {
     "op7_line_dedup": rf"""
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
  lines AS (SELECT * FROM (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lower(regexp_replace(ls[i], '^\s+|\s+$', '', 'g')) AS t
-   FROM docs, unnest(range(1, len(ls) + 1)) AS r(i)) WHERE length(t) >= {MIN_CHARS}),
+   FROM docs, unnest(range(1, len(ls) + 1)) AS r(i)) WHERE length(t) >= {EXACT_CHARS}),
  one AS (SELECT t, min((doc_id, line_no)) AS f FROM lines GROUP BY t),
  ends AS (SELECT t, f, length(t) AS n, left(t, length(t) // 2) AS p, right(t, length(t) // 2) AS s,
-   left(t, (length(t) - 1) // 2) AS p1, right(t, (length(t) - 1) // 2) AS s1 FROM one),
+   left(t, (length(t) - 1) // 2) AS p1, right(t, (length(t) - 1) // 2) AS s1 FROM one WHERE length(t) >= {MIN_CHARS}),
  cand AS (
    SELECT a.t AS at1, b.t AS bt1, a.f AS af, b.f AS bf FROM ends a JOIN ends b ON a.n = b.n AND a.p = b.p AND a.t <> b.t UNION
    SELECT a.t, b.t, a.f, b.f FROM ends a JOIN ends b ON a.n = b.n AND a.s = b.s AND a.t <> b.t UNION
