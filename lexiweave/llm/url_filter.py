@@ -15,6 +15,8 @@ from lexiweave.llm._spark import BROADCAST_BYTES, table, written
 
 #: Keys of one shard, so that a shard's universe fits in a worker whatever the corpus.
 SHARD_KEYS = 500_000
+#: Partitions of the shards at most.
+MOST_PARTS = 20_000
 FIRST_RATE, NEXT_RATE = 0.1, 0.5
 _SALT = 0x5EED
 
@@ -118,7 +120,7 @@ def build(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS)
     keys = universe.select("key", F.lit(False).alias("_listed")).unionAll(listed.select("key", F.lit(True).alias("_listed"))).filter("key is not null")
     shards = max(1, -(-universe.count() // shard_keys))
     distinct = _hashed(keys, F.col("key"), shards).groupBy("_shard", "_a", "_b").agg(F.max("_listed").alias("_listed"))
-    cascade = distinct.repartition("_shard").sortWithinPartitions("_shard").mapInArrow(_build, "_shard int, levels binary")
+    cascade = distinct.repartitionById(min(shards, MOST_PARTS), F.col("_shard") % min(shards, MOST_PARTS)).sortWithinPartitions("_shard").mapInArrow(_build, "_shard int, levels binary")
     return written(cascade, "url-cascade"), shards
 
 
@@ -160,7 +162,7 @@ def flag(pages: DataFrame, cascade: DataFrame, shards: int, limit: int = BROADCA
     null page_ids are rows of their own; other columns are ignored; an empty table gives an empty table.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("key", url_key(F.col("url")))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url")).withColumn("key", url_key(F.col("url")))
     known = _hashed(rows.filter("key is not null"), F.col("key"), shards)
     schema = "page_id bigint, url string, key string, listed boolean"
     size = cascade.agg(F.coalesce(F.sum(F.length("levels")), F.lit(0))).first()[0]
@@ -169,7 +171,7 @@ def flag(pages: DataFrame, cascade: DataFrame, shards: int, limit: int = BROADCA
         out = known.mapInArrow(lambda it: _apply(it, sent.value), schema)
     else:
         both = known.withColumn("levels", F.lit(None).cast("binary")).unionByName(cascade, allowMissingColumns=True)
-        out = both.repartition("_shard").sortWithinPartitions("_shard", F.col("levels").isNull()).mapInArrow(_apply_shards, schema)
+        out = both.repartitionById(min(shards, MOST_PARTS), F.col("_shard") % min(shards, MOST_PARTS)).sortWithinPartitions("_shard", F.col("levels").isNull()).mapInArrow(_apply_shards, schema)
     return out.unionAll(rows.filter("key is null").withColumn("listed", F.lit(False)))
 
 
@@ -195,6 +197,6 @@ WITH k AS (
       regexp_replace(lower(regexp_extract({_REST}, '^([^/]*)', 1)), '^(www\.|m\.)', '')
       || regexp_extract({_REST}, '^[^/]*(.*)$', 1), '/+$', '') AS key
   FROM pages)
-SELECT page_id, url, key, coalesce(regexp_matches(regexp_extract(key, '^([^/]*)', 1), '(^|\.)(cheap-pills|casino-win)\.'), false) AS listed FROM k
+SELECT page_id, url, key, coalesce(regexp_matches(regexp_extract(key, '^([^/]*)', 1), '{SPAM_HOSTS}'), false) AS listed FROM k
 """
 }
