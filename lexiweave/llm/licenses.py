@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
@@ -53,35 +54,30 @@ class Scanner:
 
     def scan(self, low: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in a lower-cased text."""
-        windows = defaultdict(list)
+        windows: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for last, at in self.automaton.iter(low):
             for i, a, b in at:
                 _, v, k = self.notices[i]
                 start = last + 1 - b
-                windows[i].append((max(0, start - k), min(len(low), start + len(v) + k)))
-        found = []
+                windows[i].add((max(0, start - k), min(len(low), start + len(v) + k)))
+        found = set()
         for i, spans in windows.items():
-            spans.sort()
-            merged = [list(spans[0])]
-            for s, e in spans[1:]:
-                if s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            todo = [tuple(x) for x in merged]
-            least = len(self.notices[i][1]) - self.notices[i][2]
+            # each window has little more than the notice's length, so the work is that of the seeds
+            least, todo = len(self.notices[i][1]) - self.notices[i][2], list(spans)
             while todo:
                 s, e = todo.pop()
                 if e - s >= least and (m := self.patterns[i].search(low, s, e)):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    found.add((i, m.start(), m.end(), sum(m.fuzzy_counts)))
                     todo += [(s, m.start()), (m.end(), e)]
         # where notices overlap, the one with fewer edits, then the longer, then the earlier holds
-        found.sort(key=lambda x: (x[3], x[1] - x[2], x[1], x[0]))
-        kept: list[tuple[int, int, int, int]] = []
-        for f in found:
-            if all(f[2] <= g[1] or f[1] >= g[2] for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda x: x[1])
+        starts: list[int] = []
+        kept: list[tuple[int, int, int, int]] = []  # apart from each other, in order
+        for f in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
+            at = bisect.bisect_left(starts, f[1])
+            if (not at or kept[at - 1][2] <= f[1]) and (at == len(kept) or kept[at][1] >= f[2]):
+                starts.insert(at, f[1])
+                kept.insert(at, f)
+        return kept
 
 
 @functools.cache
@@ -125,7 +121,7 @@ def scan_licenses(docs: DataFrame, notices: Mapping[str, str] = NOTICES, error_r
     if any(len(v) < allowed(v, error_rate) + 1 or not v for v in notices.values()):
         raise ValueError("a notice must be longer than its allowed edits")
     fixed = tuple(notices.items())
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).mapInArrow(
         lambda it: _scan(it, fixed, error_rate), "doc_id bigint, license string, start int, end int, edits int, matched string"
     )
 
