@@ -113,7 +113,6 @@ def _local_joins(batches: Iterator[pa.RecordBatch], degree: int, salt: int, know
         # neighbours and as many of those that it is a neighbour of
         draw = tx.mix(member.astype(np.int64).view(tx.U) ^ tx.U(salt))
         o = np.lexsort((draw, 1 - forward, key))
-        same = np.ones(len(o), bool)
         by = np.lexsort((1 - forward, member, key))
         dup = np.zeros(len(o), bool)
         dup[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (member[by[1:]] == member[by[:-1]])
@@ -122,7 +121,6 @@ def _local_joins(batches: Iterator[pa.RecordBatch], degree: int, salt: int, know
         nth = np.arange(len(o)) - np.repeat(first, np.diff(np.append(first, len(o))))
         o, nth = o[nth < 2 * degree], nth[nth < 2 * degree]
         row = np.cumsum(nth == 0) - 1
-        del same
         if known is not None:
             at = np.searchsorted(known[0], member[o])
             vs, reach = known[1][at], known[2][at]
@@ -373,14 +371,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begin, pa.binary()), pa.array(far, pa.binary())], names=["id", "v", "begin", "far"])
 
 
-def _begun(queries: DataFrame, pts: DataFrame, n: int, dims: int, beam: int, limit: int) -> DataFrame:
+def _begun(queries: DataFrame, pts: DataFrame, n: int, dims: int, beam: int, limit: int, nodes: bool) -> DataFrame:
     """The queries with the nodes that each begins from, and their squared distances.
 
     A query that is a node begins from itself. Any other begins from what the same search finds among one in THIN nodes;
     that goes on until ENTRIES are as large a share, so that every region of one in THIN rows can be reached.
     """
-    if queries is pts:
-        return pts.mapInArrow(_at_home, _BEGUN)
+    if nodes:
+        return queries.select("id", "v").mapInArrow(_at_home, _BEGUN)
     here = queries.select("id", "v").join(pts.select("id", "v"), ["id", "v"], "left_semi").mapInArrow(_at_home, _BEGUN)
     foreign = queries.select("id", "v").join(pts.select("id", "v"), ["id", "v"], "left_anti")
     found = pts.sparkSession.createDataFrame([], _ANSWER)
@@ -470,18 +468,20 @@ def _final(batches: Iterator[pa.RecordBatch], beam: int, top: int) -> Iterator[p
             yield _answers(b.column(0).to_numpy(zero_copy_only=False), ids, ds, top)
 
 
-def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, dims: int, top: int = TOP, beam: int = BEAM, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """vec_id, rank, neighbour_id, distance of the `top` nearest others of each query (id, v) by greedy graph search.
+def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, dims: int, top: int = TOP, beam: int = BEAM, limit: int = BROADCAST_BYTES, nodes: bool = False) -> DataFrame:
+    """vec_id, rank, neighbour_id, distance of the `top` nearest others of each query (id, v) by greedy graph search;
+    `nodes`: all queries are rows of `pts`.
 
-    Every query begins from ENTRIES nodes and from its own (see _begun). Edges are walked both ways. Where graph and vectors together have at most `limit` bytes every executor searches
-    batches of queries by itself; beyond, all queries take their steps together: the nodes that they expand are joined
-    with the adjacency lists, and each turn is written.
+    Every query begins from ENTRIES nodes and from its own (see _begun). Edges are walked both ways. Where graph and
+    vectors together have at most `limit` bytes every executor searches batches of queries by itself; beyond, all
+    queries take their steps together: the nodes that they expand are joined with the adjacency lists, and each turn is
+    written.
     """
     spark, degree = pts.sparkSession, DEGREE
     n = pts.count()
     if not n:
         return spark.createDataFrame([], _ANSWER)
-    begun = _begun(queries, pts, n, dims, beam, limit)
+    begun = _begun(queries, pts, n, dims, beam, limit, nodes)
     both = written(_merged(graph.mapInArrow(_backward, _GRAPH), 2 * degree), "graph")
     entries = pts.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toPandas()
     first = entries["id"].to_numpy(np.int64), np.frombuffer(b"".join(entries["v"]), np.float32).reshape(-1, dims)
@@ -509,19 +509,26 @@ def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, dims: int, top:
     return state.mapInArrow(lambda it: _final(it, beam, top), _ANSWER)
 
 
-def nearest_neighbours(vectors: DataFrame, top: int = TOP, degree: int = DEGREE, beam: int = BEAM, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """vec_id, rank (from 1), neighbour_id, distance (Euclidean): about the `top` nearest others of every row.
+def nearest_neighbours(vectors: DataFrame, top: int = TOP, degree: int = DEGREE, beam: int = BEAM, limit: int = BROADCAST_BYTES, every: int = 1) -> DataFrame:
+    """vec_id, rank (from 1), neighbour_id, distance (Euclidean): about the `top` nearest others of every row, or of
+    those whose id is divisible by `every`, among all rows.
 
-    Every usable row is a node and a query: null ids, and vectors that are null, empty, not finite or of another length
+    Every usable row is a node, and a query if its id is divisible by `every`: null ids, and vectors that are null, empty, not finite or of another length
     than most, are left out and have no rows; rows that repeat a vec_id are one node, with the least of their vectors;
     ties go to the smaller id; other columns are ignored; an empty table gives an empty table, as does a single row.
     """
     pts, dims = points(vectors)
-    return search(pts, pts, build_graph(pts, dims, degree, limit=limit), dims, top, beam, limit)
+    asked = pts if every == 1 else pts.filter(F.col("id") % every == 0)
+    return search(asked, pts, build_graph(pts, dims, degree, limit=limit), dims, top, beam, limit, nodes=True)
+
+
+#: The query asks for the neighbours of one row in so many, by its id.
+EVERY = 100
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+    """All rows are indexed; queries are the rows whose id is divisible by EVERY, against all rows."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 QUERIES = {"op3_neighbours": op3_neighbours}
