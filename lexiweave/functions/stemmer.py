@@ -100,6 +100,27 @@ def stem(word: str) -> str:
     return _tidy(_drop(_replace(_replace(_final_y(_past(_plural(word))), _TWO), _THREE)))
 
 
+class StemBuffer:
+    """Letters added one by one or in runs, then stemmed as one word."""
+
+    def __init__(self) -> None:
+        self._letters: list[str] = []
+        self._result = ""
+
+    def add(self, letters: str) -> None:
+        self._letters += letters
+
+    def stem(self) -> None:
+        self._result = stem("".join(self._letters))
+        self._letters = []
+
+    def __len__(self) -> int:
+        return len(self._result)
+
+    def __str__(self) -> str:
+        return self._result
+
+
 @F.pandas_udf(StringType())
 def stem_column(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:

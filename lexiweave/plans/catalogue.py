@@ -17,6 +17,8 @@ from lexiweave.sources import corpus as src
 
 #: Terms kept by score, and document frequencies kept by pruning.
 TOP, MIN_DF, MAX_DF, DENSE, SAMPLE = 200, 3, 200, 50, 100
+#: Terms that classifiers are trained on.
+BEST = 2000
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +129,78 @@ def _regression(spark, sf_dir):
 
 
 def _validated(spark, sf_dir, kind):
-    return models.cross_validate(_documents(spark, sf_dir), models.Learner(kind, top_n=500, iterations=10), 3)
+    return models.cross_validate(_documents(spark, sf_dir), models.Learner(kind, top_n=BEST), 3)
 
 
-def _training(spark, sf_dir):
+def _training(spark, sf_dir, kind="svc"):
+    """Fitted on four fifths of the documents; every document is scored, with whether it was held out."""
+    docs = kept(models.folds(_documents(spark, sf_dir), 5), "folds")
+    got = models.Learner(kind, top_n=BEST).fit(docs.filter("fold <> 0").drop("fold")).scores(docs.drop("fold"))
+    return got.join(docs.select("doc_id", (F.col("fold") == 0).alias("held_out")), "doc_id").select("doc_id", "predicted", "held_out")
+
+
+def _fixed(spark, sf_dir, sigmoids):
+    """Documents under a linear model with given weights, a bias feature among them."""
     docs = _documents(spark, sf_dir)
-    return models.Learner("svc", top_n=500, iterations=10).fit(docs).scores(docs).select("doc_id", "predicted")
+    lexicon = lx.Lexicon.fit(docs, "tfidf")
+    labels = [r["label"] for r in lexicon.labels.orderBy("label_id").collect()]
+    size = lexicon.terms.agg(F.max("attr_id")).first()[0]
+    w = F.array(*[((F.col("id") * 37 + i * 11) % 101 - 50) / 50 for i in range(len(labels))])
+    weights = spark.range(1, size + 2).select(F.col("id").cast("int").alias("attr_id"), w.alias("w"))
+    c = models.Classifier(lexicon, labels, size, weights, [0.0] * len(labels), "logreg", 1.0, sigmoids=[(1.0, 0.0)] * len(labels) if sigmoids else None)
+    return c.classify(docs).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+def _known_fields(spark, sf_dir):
+    """A lexicon of the turns of some roles, applied to all: terms of other fields are unknown."""
+    docs = _conversations(spark, sf_dir)
+    fitted = lx.Lexicon.fit(corpus.filter_fields(docs, ["user", "assistant"]))
+    return wt.vectors(docs, fitted).select("doc_id", "attr_id", F.round("value", 6).alias("value"))
+
+
+def _weighted_lines(spark, sf_dir):
+    lexicon = lx.Lexicon.fit(_documents(spark, sf_dir))
+    weights = lexicon.terms.select("attr_id", (F.col("df") - 1).cast("double").alias("weight"))
+    scores = lexicon.terms.filter("attr_id % 2 = 0").select("attr_id", F.col("df").cast("double").alias("score"))
+    return src.lexicon_lines(lexicon, scores, weights).select("line")
+
+
+def _arff_header(spark, sf_dir):
+    _, lexicon, best = _selected(spark, sf_dir, TOP)
+    return src.arff_header(lexicon.restricted(best).compacted())
+
+
+def _parsed_fields(spark, sf_dir):
+    docs = _conversations(spark, sf_dir)
+    return src.parse_lines(src.multifield_lines(docs, lx.Lexicon.fit(docs)))
+
+
+def _flat_features(parsed):
+    each = parsed.select("doc_id", "totals", F.explode("features").alias("f")).select("doc_id", "totals", "f.*")
+    return each.select("doc_id", "attr_id", "occ", "field_id", F.get("totals", F.col("field_id")).alias("n_tokens"))
+
+
+def _revectorized(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    lexicon = lx.Lexicon.fit(docs)
+    parsed = kept(src.parse_lines(src.simple_lines(docs, lexicon)), "parsed")
+    return src.revectorized(parsed, lexicon, src.Options("occurrences", min_df=MIN_DF, max_df=MAX_DF, compact=True))[0]
+
+
+def _dump(spark, sf_dir):
+    _, lexicon, v, labels = _scored(spark, sf_dir)
+    return scorers.log_likelihood(v, labels).join(lexicon.terms, "attr_id").select("token", F.round("score", 6).alias("score"))
+
+
+def _wrong(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    lexicon = lx.Lexicon.fit(docs)
+    return models.misclassified(_predicted(spark, sf_dir), docs, lexicon).select("doc_id", "expected", "predicted", F.coalesce(F.size("terms"), F.lit(-1)).alias("n_terms"))
+
+
+def _without(spark, sf_dir):
+    lexicon = lx.Lexicon.fit(_documents(spark, sf_dir))
+    return lexicon.without(lexicon.terms.filter("df > 1")).terms
 
 
 _Q = {
@@ -177,7 +245,22 @@ _Q = {
     "regression_metrics": _regression,
     "top_attributes_per_label": _top,
     "stem_vocabulary": lambda s, d: stem_terms(lx.term_counts(_documents(s, d))),
+    "linear_scores": partial(_fixed, sigmoids=False),
+    "linear_probabilities": partial(_fixed, sigmoids=True),
+    "known_fields_only": _known_fields,
+    "lexicon_header": lambda s, d: src.lexicon_header(lx.Lexicon.fit(_documents(s, d))),
+    "lexicon_header_fields": lambda s, d: src.lexicon_header(lx.Lexicon.fit(_conversations(s, d), "tfidf").with_field_scheme("user", "boolean")),
+    "lexicon_lines_weighted": _weighted_lines,
+    "lexicon_without": _without,
+    "vectors_arff_header": _arff_header,
+    "raw_roundtrip_multifield": lambda s, d: _flat_features(_parsed_fields(s, d)),
+    "raw_filter_fields": lambda s, d: _flat_features(src.kept_fields(_parsed_fields(s, d), [0, 2])),
+    "raw_filter_fields_literal": lambda s, d: _flat_features(src.kept_fields(_parsed_fields(s, d), [1], literal=True)),
+    "revectorized_raw": _revectorized,
+    "best_attributes": _dump,
+    "misclassified_documents": _wrong,
     "train_predict_linear_svc": _training,
+    "train_predict_rbf": partial(_training, kind="rbf"),
     "cross_validation_svc": partial(_validated, kind="svc"),
     "cross_validation_logreg": lambda s, d: models.report(_validated(s, d, "logreg")),
 }
@@ -212,6 +295,10 @@ _MULTI = _FIELDS + """, feats AS (SELECT doc_id, string_agg(attr_id || ':' || oc
 sizes AS (SELECT doc_id, string_agg(CAST(CAST(coalesce(n_tokens, 0) AS DOUBLE) AS VARCHAR), chr(9) ORDER BY field_id) AS t FROM (SELECT DISTINCT doc_id FROM c) CROSS JOIN fid LEFT JOIN (SELECT * FROM ft WHERE {0}) USING (doc_id, field) GROUP BY doc_id)
 SELECT doc_id, concat_ws(chr(9), 'MultiFieldDocument', '0', (SELECT count(*) FROM fid), t, f) AS line FROM sizes LEFT JOIN feats USING (doc_id)"""
 _PRUNED = f", kept AS (SELECT token, attr_id, df FROM lex WHERE df BETWEEN {MIN_DF} AND {MAX_DF}), comp AS (SELECT token, attr_id AS old_id, CAST(row_number() OVER (ORDER BY token) AS INTEGER) AS new_id FROM kept)"
+_LINEAR = """, wt AS (SELECT attr_id, label, ((attr_id * 37 + label_id * 11) % 101 - 50) / 50 AS wgt FROM (SELECT attr_id FROM lex UNION ALL SELECT max(attr_id) + 1 FROM lex) CROSS JOIN lab),
+lin AS (SELECT d.doc_id, b.label, coalesce(s, 0) + b.wgt AS x FROM d CROSS JOIN (SELECT label, wgt FROM wt WHERE attr_id = (SELECT max(attr_id) + 1 FROM lex)) b
+ LEFT JOIN (SELECT doc_id, wt.label, sum(tfidf * wgt) AS s FROM w JOIN wt USING (attr_id) GROUP BY ALL) x ON x.doc_id = d.doc_id AND x.label = b.label)
+"""
 _DRAWN = f"SELECT doc_id FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT {SAMPLE}"
 
 _SQL = {
@@ -262,6 +349,24 @@ _SQL = {
  FROM (SELECT label, CAST(sum(s) AS BIGINT) AS support, sum(c) AS claimed, sum(h) AS hit FROM (SELECT expected AS label, 1 AS s, 0 AS c, CASE WHEN predicted = expected THEN 1 ELSE 0 END AS h FROM best UNION ALL SELECT predicted, 0, 1, 0 FROM best) GROUP BY label)""",
     "regression_metrics": _BASE + "SELECT round(avg((n_tokens - y) ** 2), 6) AS mse, round(corr(n_tokens, y) ** 2, 6) AS squared_correlation FROM (SELECT n_tokens, n_chars / 6 AS y FROM tot JOIN documents USING (doc_id))",
     "top_attributes_per_label": _BASE + _CELLS.format("frequency") + "SELECT label, CAST(rank AS INTEGER) AS rank, token, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, attr_id DESC) AS rank FROM (SELECT attr_id, label, round(score, 6) AS score FROM cs)) JOIN lex USING (attr_id) WHERE rank <= 20",
+    "linear_scores": _BASE + _LINEAR + "SELECT doc_id, label, round(x, 6) AS score FROM lin",
+    "linear_probabilities": _BASE + _LINEAR + "SELECT doc_id, label, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS score FROM (SELECT *, 1 / (1 + exp(-x)) AS s FROM lin)",
+    "known_fields_only": _FIELDS.replace("FROM conversations)", "FROM conversations WHERE role IN ('user', 'assistant'))") + "SELECT doc_id, attr_id, round(occ / n_tokens, 6) AS value FROM w",
+    "lexicon_header": _BASE + """SELECT 0::BIGINT AS ord, CAST(n AS VARCHAR) AS line FROM nn UNION ALL VALUES (1, 'frequency'), (2, 'false'), (3, ''), (5, '')
+ UNION ALL SELECT 4, (SELECT string_agg(label || ' ', '' ORDER BY label_id) FROM lab)""",
+    "lexicon_header_fields": _FIELDS + """SELECT 0::BIGINT AS ord, CAST((SELECT count(DISTINCT doc_id) FROM c) AS VARCHAR) AS line UNION ALL VALUES (1, 'tfidf'), (2, 'false'), (3, ''), (4, '')
+ UNION ALL SELECT 5, (SELECT string_agg(field || CASE WHEN field = 'user' THEN ':BOOLEAN' ELSE '' END || ' ', '' ORDER BY field_id) FROM fid)""",
+    "lexicon_lines_weighted": _BASE + "SELECT concat_ws(chr(9), token, attr_id, df, CAST(df - 1 AS DOUBLE), CASE WHEN attr_id % 2 = 0 THEN CAST(df AS DOUBLE) ELSE -1.0::DOUBLE END) AS line FROM lex WHERE df > 1",
+    "lexicon_without": _BASE + "SELECT token, attr_id, df FROM lex WHERE df = 1",
+    "vectors_arff_header": _BASE + _CELLS.format("frequency") + _TOP.format(TOP) + _NEW + """, named AS (SELECT id, token FROM sel JOIN ids USING (attr_id)), k AS (SELECT max(id) AS k FROM ids)
+ SELECT 0::BIGINT AS ord, '@relation dataset' AS line UNION ALL VALUES (1, '') UNION ALL SELECT 2, '@attribute label {' || (SELECT string_agg(label, ',' ORDER BY label_id) FROM lab) || '}'
+ UNION ALL SELECT id + 3, '@attribute "i_' || id || '_' || token || '"  NUMERIC' FROM named UNION ALL SELECT k + 4, '' FROM k UNION ALL SELECT k + 5, '@data' FROM k""",
+    "raw_roundtrip_multifield": _FIELDS + "SELECT doc_id, attr_id, occ, field_id, CAST(n_tokens AS DOUBLE) AS n_tokens FROM w JOIN fid USING (field)",
+    "raw_filter_fields": _FIELDS + "SELECT doc_id, attr_id, occ, field_id, CAST(n_tokens AS DOUBLE) AS n_tokens FROM w JOIN fid USING (field) WHERE field_id IN (0, 2)",
+    "raw_filter_fields_literal": _FIELDS + "SELECT doc_id, attr_id, occ, field_id, CAST(n_tokens AS DOUBLE) AS n_tokens FROM w JOIN fid USING (field) WHERE field_id >= 1",
+    "revectorized_raw": _BASE + _PRUNED + "SELECT d.doc_id, label_id || '  ' || coalesce(f, '') AS line FROM d JOIN lab USING (label) LEFT JOIN (SELECT doc_id, string_agg(new_id || ':' || occurrences, ' ' ORDER BY new_id) AS f FROM w JOIN comp ON old_id = attr_id GROUP BY doc_id) USING (doc_id) WHERE len(d.tokens) > 0",
+    "best_attributes": _BASE + _CELLS.format("frequency") + "SELECT token, round(score, 6) AS score FROM llr JOIN lex USING (attr_id)",
+    "misclassified_documents": _JUDGED + "SELECT doc_id, expected, predicted, coalesce(n, -1)::INTEGER AS n_terms FROM best LEFT JOIN (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id) USING (doc_id) WHERE predicted <> expected",
 }
 
 

@@ -290,8 +290,7 @@ def load_lexicon(spark: SparkSession, path: str) -> Lexicon:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of a file, or of the files of a folder whose names end in txt."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*txt")
-    return whole.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", "*txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_line_corpus(spark: SparkSession, files: dict[str, str]) -> DataFrame:
