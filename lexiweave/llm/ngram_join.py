@@ -13,7 +13,7 @@ from lexiweave.llm import _text as tx
 from lexiweave.llm._spark import bloom, discard, fresh_name, table, written
 
 N = 3
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 #: A pair must share so many n-grams of its prefixes (or as many as its overlap needs, if fewer).
 SHARED = 3
 #: Entries of the matrix in one block of columns.

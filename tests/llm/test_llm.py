@@ -270,7 +270,7 @@ def test_templated_lines_take_little_memory(spark):
     g, off = one
     t = ngram_join.pa.RecordBatch.from_pydict({"id": range(8000), "n": [1] * 8000, "grams": [g[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], "chunk": [0] * 8000, "diagonal": [True] * 8000, "tile": [0] * 8000})
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    out = [x for x in ngram_join._linked(iter([t]), ngram_join.THRESHOLD)]
+    out = [x for x in ngram_join._linked(iter([t]), 0.6)]
     assert sum(x.num_rows for x in out) == 8000 and {x for b in out for x in b.column(1).to_pylist()} == set(range(7))  # those of one day
     assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 600
 
