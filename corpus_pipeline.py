@@ -3,9 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet in the shared folder
 and reread as the next stage's docs. All but the last return the columns of documents.
 
-Defined cases, stage by stage: documents without words go in the first stage; a document that loses every line with
-words goes in the second; one document of each group of near duplicates (the least doc_id) stays in the third; rows with
-a null doc_id are scored by the first stage, left as they are by the second and third, and packed by the last.
+Defined cases, stage by stage: documents without words (null, empty, blank texts) go in the first stage, and so do those
+that the classifier rejects; a document that loses every line with words goes in the second; one document of each class
+of near duplicates (the least doc_id, so there are no ties) stays in the third; the last has a row for each piece of a
+document in a window. Rows with a null doc_id are scored by the first stage, left as they are by the second and third,
+and packed by the last. Rows that repeat a doc_id are judged alike, lose the same lines where their own text has them,
+stay or go together, and are packed as rows of their own. Further columns of documents are kept whatever their names
+until the last stage. An empty table gives an empty table; without labels of both classes every document with words is
+kept.
 """
 
 from __future__ import annotations
