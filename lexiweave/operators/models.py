@@ -201,11 +201,12 @@ class Classifier:
         return long.join(self.lexicon.terms.select("attr_id", "token"), "attr_id").select("attr_id", "token", *[c for c in long.columns if c != "attr_id"])
 
     def save(self, path: str) -> None:
-        """A folder with the lexicon and the model; what was there goes."""
+        """A folder with the lexicon and the model; those that were there go."""
         from lexiweave.sources import corpus as src
 
         spark = self.lexicon.terms.sparkSession
-        delete_path(spark, path)
+        for part in ("lexicon", "model"):
+            delete_path(spark, f"{path}/{part}")
         src.save_lexicon(self.lexicon, f"{path}/lexicon")
         self.weights.write.parquet(f"{path}/model/weights")
         meta = {k: getattr(self, k) for k in ("labels", "size", "intercepts", "kind", "bias", "gamma", "dims", "sigmoids")}
@@ -232,6 +233,42 @@ class Classifier:
         return self.loaded_at is not None and modified(self.lexicon.terms.sparkSession, f"{self.loaded_at[0]}/lexicon") != self.loaded_at[1]
 
 
+@dataclass(frozen=True)
+class Workspace:
+    """A folder with what belongs to one classifier: raw documents, vectors, and the saved lexicon and model."""
+
+    spark: SparkSession
+    path: str
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, overwrite: bool = False) -> Workspace:
+        """overwrite: what an earlier classifier left goes; else there must be one."""
+        for part in ("model", "lexicon", "vector", "raw") if overwrite else ():
+            delete_path(spark, f"{path}/{part}")
+        if not overwrite and modified(spark, f"{path}/lexicon") is None:
+            raise FileNotFoundError(f"no lexicon in {path}")
+        return cls(spark, path)
+
+    def learn(self, docs: DataFrame, learner: Learner) -> Classifier:
+        """Fit, and leave the raw documents, the vectors, the lexicon and the model in the folder."""
+        from lexiweave.sources import corpus as src
+
+        classifier = learner.fit(docs, f"{self.path}/vector")
+        render = src.multifield_lines if "fields" in docs.columns else src.simple_lines
+        src.write_lines(render(docs.filter("label is not null"), classifier.lexicon), f"{self.path}/raw", "overwrite")
+        classifier.save(self.path)
+        return classifier
+
+    def raw(self) -> DataFrame:
+        """The parsed raw documents."""
+        from lexiweave.sources import corpus as src
+
+        return src.read_raw(self.spark, f"{self.path}/raw")
+
+    def classifier(self) -> Classifier:
+        return Classifier.load(self.spark, self.path)
+
+
 def modified(spark: SparkSession, path: str) -> int | None:
     """When the newest file under a path was written, in milliseconds; None if there is nothing."""
     jvm = spark.sparkContext._jvm

@@ -213,3 +213,37 @@ def test_stream(spark, texts, tmp_path):
     got = {(r["doc_id"], r["attr_id"]): r["value"] for r in spark.table("streamed").collect()}
     want = {(r["doc_id"], r["attr_id"]): r["value"] for r in wt.vectors(texts, lexicon).collect()}
     assert got == want
+
+
+def test_stream_of_texts_is_classified(spark, texts, tmp_path):
+    from lexiweave.streaming.scoring import start_classifying
+
+    models.Learner("svc", "boolean", iterations=10).fit(texts).save(str(tmp_path / "m"))
+    texts.select("doc_id", F.array_join("tokens", " ").alias("text")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    start_classifying(stream, str(tmp_path / "m"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(90)
+    got = spark.read.parquet(str(tmp_path / "out")).join(texts, "doc_id")
+    assert got.count() == 36 and got.filter("predicted = label").count() >= 33
+
+
+def test_workspace(spark, texts, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        models.Workspace.open(spark, str(tmp_path / "w"))
+    w = models.Workspace.open(spark, str(tmp_path / "w"), overwrite=True)
+    w.learn(texts, models.Learner("svc", "boolean", iterations=10))
+    again = models.Workspace.open(spark, str(tmp_path / "w"))
+    assert right(again.classifier(), texts) > 0.9 and again.raw().count() == 36
+    assert src.read_svmlight(spark, str(tmp_path / "w" / "vector")).count() == 36
+    empty = models.Workspace.open(spark, str(tmp_path / "w"), overwrite=True)
+    with pytest.raises(FileNotFoundError):
+        empty.classifier()
+
+
+def test_stem_buffer():
+    from lexiweave.functions.stemmer import StemBuffer
+
+    b = StemBuffer()
+    for x in ("c", "ares", "ses"):
+        b.add(x)
+    b.stem()
+    assert str(b) == "caress" and len(b) == 6
