@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiweave.functions.session import discard, scratch_path, shared_dir  # noqa: F401
+from lexiweave.functions.session import discard, spread  # noqa: F401
 from lexiweave.functions.session import kept as written  # noqa: F401
 from lexiweave.llm import _text as tx
 
@@ -22,7 +22,7 @@ def fresh_name(name: str, *schemas: list[str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
