@@ -240,7 +240,7 @@ def _with_hashes(docs: DataFrame, min_chars: int, exact_chars: int | None, id_bi
     return _duplicates(read, occurrences, distinct, close)
 
 
-def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame, hot: int = HOT) -> DataFrame:
+def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, close: DataFrame) -> DataFrame:
     texts = written(read.dropDuplicates(["h", "g"]).join(close, ["h", "g"]).select("h", "g", "line", "twin", "text", "at"), "close-texts")
     discard(close)
     buckets = 1 + (texts.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // BUCKET_KEYS
@@ -261,10 +261,10 @@ def _duplicates(read: DataFrame, occurrences: DataFrame, distinct: DataFrame, cl
     discard(near)
     each = occurrences.select("h", "g", F.struct("doc_id", "line_no").alias("me"))
     # lines that occur very often, of which there can be only so many, are looked up where they stand
-    large = F.broadcast(marked.filter(F.col("n") >= hot).select("h", "g", F.struct("at", "before").alias("_large")))
+    large = F.broadcast(marked.filter(F.col("n") >= HOT).select("h", "g", F.struct("at", "before").alias("_large")))
     known = each.join(large, ["h", "g"], "left")
     hit = known.filter("_large is not null").select("h", "g", "me", "_large.at", "_large.before").unionAll(
-        known.filter("_large is null").drop("_large").join(marked.filter(F.col("n") < hot), ["h", "g"]).select("h", "g", "me", "at", "before")
+        known.filter("_large is null").drop("_large").join(marked.filter(F.col("n") < HOT), ["h", "g"]).select("h", "g", "me", "at", "before")
     )
     first = F.when(F.col("before") < F.col("at"), F.col("before")).otherwise(F.col("at"))
     return (

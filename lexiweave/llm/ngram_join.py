@@ -25,7 +25,7 @@ _SEEN = 4  # times that a task must meet an n-gram to report it
 TILE_BYTES, TILE_SETS = 8 << 20, 8192
 #: Cells of a tile's product that are held at a time.
 CELLS = 2 << 20
-#: Documents of one set from which their rows are spread over several tasks.
+#: Documents of one set from which they are looked up in a broadcast, so that they need not meet in one task.
 HOT = 200_000
 #: Bands and rows of the min-hashes by which the likely pairs are put together before the product.
 BANDS, ROWS = 8, 4
@@ -562,8 +562,8 @@ class Join:
     def classes(self, hot: int = HOT) -> DataFrame:
         """doc_id, class_id, links of every document.
 
-        Sets with at least `hot` documents, of which there can be only so many, spread theirs over 64 tasks; their
-        class and links come to these by a broadcast of at most 1 / hot of the rows.
+        Documents of sets with at least `hot` of them, of which there can be only so many, stay where they are: their
+        class and links come to them by a broadcast of at most 1 / hot of the rows.
         """
         linked = written(self._met(_linked, _LINKS), "linked")
         roots = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a <> b"))

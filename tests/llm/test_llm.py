@@ -199,11 +199,13 @@ def test_lines_against_brute_force(spark):
     assert {tuple(x) for x in line_dedup.duplicate_lines(docs(spark, rows), id_bits=0xFF).collect()} == want
 
 
-def test_short_lines_are_matched_if_equal(spark, tmp_path):
+def test_short_lines_are_matched_if_equal(spark, tmp_path, monkeypatch):
     rows = [(1, "Les.\n\nAnd ornd.\nLez.", "en"), (2, " les. \n\nonly here\nAnd ornd.", "en"), (3, "Les.", "en")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(x) for x in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {(2, 0, 1, 0, 0), (2, 3, 1, 2, 0), (3, 0, 1, 0, 0)}
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    assert {tuple(x) for x in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()} == got
     kept = {r["doc_id"]: r["text"] for r in line_dedup.drop_duplicate_lines(docs(spark, rows)).collect()}
     assert kept == {1: rows[0][1], 2: "\nonly here"}
 
