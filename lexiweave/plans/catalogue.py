@@ -155,7 +155,7 @@ def _known_fields(spark, sf_dir):
     """A lexicon of the turns of some roles, applied to all: terms of other fields are unknown."""
     docs = _conversations(spark, sf_dir)
     fitted = lx.Lexicon.fit(corpus.filter_fields(docs, ["user", "assistant"]))
-    return wt.vectors(docs, fitted).select("doc_id", "attr_id", F.round("value", 6).alias("value"))
+    return wt.vectors(docs, fitted)
 
 
 def _weighted_lines(spark, sf_dir):
@@ -351,7 +351,7 @@ _SQL = {
     "top_attributes_per_label": _BASE + _CELLS.format("frequency") + "SELECT label, CAST(rank AS INTEGER) AS rank, token, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, attr_id DESC) AS rank FROM (SELECT attr_id, label, round(score, 6) AS score FROM cs)) JOIN lex USING (attr_id) WHERE rank <= 20",
     "linear_scores": _BASE + _LINEAR + "SELECT doc_id, label, round(x, 6) AS score FROM lin",
     "linear_probabilities": _BASE + _LINEAR + "SELECT doc_id, label, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS score FROM (SELECT *, 1 / (1 + exp(-x)) AS s FROM lin)",
-    "known_fields_only": _FIELDS.replace("FROM conversations)", "FROM conversations WHERE role IN ('user', 'assistant'))") + "SELECT doc_id, attr_id, round(occ / n_tokens, 6) AS value FROM w",
+    "known_fields_only": _FIELDS.replace("FROM conversations)", "FROM conversations WHERE role IN ('user', 'assistant'))") + "SELECT doc_id, attr_id, occ / n_tokens AS value FROM w",
     "lexicon_header": _BASE + """SELECT 0::BIGINT AS ord, CAST(n AS VARCHAR) AS line FROM nn UNION ALL VALUES (1, 'frequency'), (2, 'false'), (3, ''), (5, '')
  UNION ALL SELECT 4, (SELECT string_agg(label || ' ', '' ORDER BY label_id) FROM lab)""",
     "lexicon_header_fields": _FIELDS + """SELECT 0::BIGINT AS ord, CAST((SELECT count(DISTINCT doc_id) FROM c) AS VARCHAR) AS line UNION ALL VALUES (1, 'tfidf'), (2, 'false'), (3, ''), (4, '')
