@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "licenses", "neighbours", "fingerprints", "unigram", "packing", "line_dedup", "ngram_join", "quality", "url_filter")
+MODULES = ("bpe", "licenses", "cells", "fingerprints", "unigram", "packing", "line_dedup", "ngram_join", "quality", "url_filter")
 
 
 def _all(what: str) -> dict:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiweave.llm import bpe, fingerprints, licenses, line_dedup, neighbours, ngram_join, packing, quality, unigram, url_filter
+from lexiweave.llm import bpe, cells, fingerprints, licenses, line_dedup, neighbours, ngram_join, packing, quality, unigram, url_filter
 
 LONG = "a long line of text that is repeated in places, number "
 ROWS = [
@@ -389,6 +389,46 @@ def test_neighbours_recall_on_many_tight_clusters(spark):
         assert recall(got, nodes) >= 0.9 and recall(got, foreign) >= 0.9
 
 
+def embedded(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+
+
+def test_cells_against_brute_force(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 24)).astype(np.float32) + 100
+    x[500:800] = x[500]  # copies: the least ids are nearest
+    x[800:1100] = x[800] + 1e-3 * r.normal(size=(300, 24))  # a tight cluster far from the origin
+    # three blocks of queries, of which 60 search all cells
+    got = cells.cell_neighbours(embedded(spark, x), every=3, measured=60, first=2, limit=48_000).toPandas().sort_values(["vec_id", "rank"])
+    near, far = (got.groupby("vec_id")[c].apply(list) for c in ("neighbour_id", "distance"))
+    assert set(near.index) == set(range(0, 3000, 3)) and (got.groupby("vec_id").size() == 10).all()
+    shares = {k: [] for k in ("copies", "cluster", "others")}
+    for k in near.index:
+        d = ((x.astype(np.float64) - x[k]) ** 2).sum(1)
+        assert np.allclose(far[k], np.sqrt(d[near[k]]), rtol=1e-12, atol=0) and (np.diff(far[k]) >= 0).all()
+        d[k] = np.inf
+        best = np.lexsort((np.arange(3000), d))[:10].tolist()
+        shares["copies" if 500 <= k < 800 else "cluster" if 800 <= k < 1100 else "others"].append(len(set(best) & set(near[k])) / 10)
+    assert np.mean(shares["copies"]) == 1 and np.mean(shares["cluster"]) >= 0.99 and np.mean(shares["others"]) >= 0.9
+    odd = spark.createDataFrame([(1, None), (None, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, []), (5, [1.0, 2.0]), (6, [1e30, -3e38])], "vec_id long, embedding array<float>")
+    assert {(x["vec_id"], x["rank"], x["neighbour_id"]) for x in cells.cell_neighbours(odd).collect()} == {(2, 1, 5), (2, 2, 6), (5, 1, 2), (5, 2, 6), (6, 1, 2), (6, 2, 5)}
+    assert cells.cell_neighbours(odd.filter("vec_id = 5")).count() == 0 == cells.cell_neighbours(odd.filter("false")).count()
+
+
+def test_neighbours_query_shuffles_little(spark, tmp_path):
+    import __spark_entry__
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    x = np.random.default_rng(7).normal(size=(5000, 64)).astype(np.float32)
+    embedded(spark, x).write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled()
+    assert __spark_entry__.queries()["op3_neighbours"](spark, str(tmp_path)).count() == 500
+    assert shuffled() - before <= 4 * x.nbytes
+
+
 def test_quality_keeps_good_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     y = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
