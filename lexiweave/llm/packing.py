@@ -18,7 +18,9 @@ from lexiweave.llm._spark import table, written
 CAPACITY = 4096
 #: Tokens of the documents that are packed together; their number grows with the input, the work in one does not.
 BLOCK_TOKENS = 1_000_000
-#: Partitions of the blocks at most, lest a driver must follow too many tasks; beyond, a task packs several blocks.
+#: Blocks that a task packs, one after another, where there are enough for all cores: a block is less than a tenth of a second's work, and every task costs buffers for sorting and a file.
+TASK_BLOCKS = 64
+#: Partitions of the blocks at most, lest a driver must follow too many tasks; beyond, a task packs more blocks.
 MOST_PARTS = 20_000
 
 
@@ -141,8 +143,7 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, block_tokens: int
     # equal rows (null ids, repeated documents) are told apart, lest they all lie in one block
     some = lengths.filter("n_tokens > 0").mapInArrow(_salted, "doc_id bigint, n_tokens bigint, nth bigint")
     placed = some.withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens", "nth"), F.lit(blocks)).cast("int"))
-    # a partition is a run of blocks: each is a second's work, so a few for each task
-    parts = min(blocks, MOST_PARTS)
+    parts = min(blocks, MOST_PARTS, max(lengths.sparkSession.sparkContext.defaultParallelism, -(-blocks // TASK_BLOCKS)))
     packed = placed.repartitionById(parts, F.col("block") % parts).sortWithinPartitions("block", "doc_id", "n_tokens").mapInArrow(lambda it: _pack(it, capacity), _OUT)
     none = F.lit(None).cast("bigint")
     return packed.unionAll(lengths.filter("n_tokens is null or n_tokens = 0").select("doc_id", none, "n_tokens", none, none))

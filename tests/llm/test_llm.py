@@ -306,6 +306,22 @@ def test_packing_against_brute_force(spark):
     assert len(out) == 6000 and out.groupby("window_id").n_tokens.sum().max() <= 100 and (out.window_id // 2**32).nunique() > 40
 
 
+def test_packing_has_several_blocks_a_task(spark):
+    sizes = {k: int(n) for k, n in enumerate(np.random.default_rng(5).integers(1, 100, 6400))}
+    lengths = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
+    packed = packing.pack_lengths(lengths, 100, 1000)
+    blocks = -(-sum(sizes.values()) // 1000)
+    assert blocks > 300
+    assert packed.rdd.getNumPartitions() <= -(-blocks // packing.TASK_BLOCKS) + lengths.rdd.getNumPartitions()
+    out = packed.toPandas()
+    assert dict(zip(out.doc_id, out.n_tokens)) == sizes and len(out) == len(sizes)
+    # each block is packed as it would be alone
+    for block, x in out.groupby(out.window_id // 2**32):
+        x = x.sort_values("doc_id")
+        assert (x.window_id % 2**32 == packing.pack_sizes(x.n_tokens.to_numpy(), 100)).all(), block
+    assert (out.window_id // 2**32).nunique() == blocks
+
+
 def test_token_counts_against_brute_force(spark):
     pieces = unigram.Pieces.load(unigram.MODEL)
     import sentencepiece
