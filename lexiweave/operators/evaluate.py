@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.operators import chunks
+from lexiweave.operators.lexicon import Lexicon
+from lexiweave.operators.weighting import in_chunks, vectors
+
 
 def document_scores(vectors: DataFrame, weights: DataFrame, digits: int = 6) -> DataFrame:
     """doc_id, label, score: the weights (attr_id, label, score) of a document's features, summed."""
     return vectors.join(weights, "attr_id").groupBy("doc_id", "label").agg(F.round(F.sum(F.col("value") * F.col("score")), digits).alias("score"))
 
 
+def judged(docs: DataFrame, lexicon: Lexicon, weights: DataFrame, digits: int = 6) -> DataFrame:
+    """document_scores() of documents under a lexicon."""
+    if in_chunks(docs):
+        return chunks.label_scores(docs, lexicon.terms, weights, lexicon.scheme.value, lexicon.doc_num).withColumn("score", F.round("score", digits))
+    return document_scores(vectors(docs, lexicon), weights, digits)
+
+
 def best_label(docs: DataFrame, scores: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, predicted: the label with the largest score of 0 or more, the last by id of equals; the first label of
     all if there is none."""

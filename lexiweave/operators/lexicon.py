@@ -13,15 +13,11 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions.session import kept
 from lexiweave.functions.text import Scheme, drop_empty, normalize_label, normalize_token, term_key
+from lexiweave.operators import chunks
 
 _NO_TOKENS = "array<string>"
 
 
-def _tokens(docs: DataFrame) -> Column:
-    """The tokens of a row as they are counted; null arrays are empty."""
-    return F.transform(drop_empty(F.coalesce("tokens", F.array().cast(_NO_TOKENS))), normalize_token)
-
-
 def runs(rows: DataFrame, items: str, key=lambda x: x) -> DataFrame:
     """`rows` with a column `runs`, array<struct<item, occ>>, of the runs of equal keys in the sorted array `items`.
 
@@ -53,9 +49,7 @@ def token_totals(docs: DataFrame) -> DataFrame:
 
 def counts_and_totals(docs: DataFrame) -> DataFrame:
     """doc_id, token, occ, n_tokens, counted within each document's row."""
-    rows = docs.select("doc_id", F.array_sort(_tokens(docs)).alias("_tokens")).withColumn("n_tokens", F.size("_tokens"))
-    each = exploded(runs(rows, "_tokens"), "runs", "r", "doc_id", "n_tokens")
-    return each.select("doc_id", F.col("r.item").alias("token"), "r.occ", "n_tokens")
+    return chunks.term_counts(docs)
 
 
 def field_totals(docs: DataFrame) -> DataFrame:
@@ -103,8 +97,12 @@ def number(df: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
 
 def term_table(docs: DataFrame) -> DataFrame:
     """token, attr_id (from 1), df of flat or multi-field documents: ids by first document, then by term."""
-    distinct = F.array_distinct(F.transform(_field_terms(), lambda x: x["key"]) if "fields" in docs.columns else _tokens(docs))
-    terms = exploded(docs, distinct, "token", "doc_id").groupBy("token").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("df"))
+    if "fields" in docs.columns:
+        distinct = F.array_distinct(F.transform(_field_terms(), lambda x: x["key"]))
+        terms = exploded(docs, distinct, "token", "doc_id").groupBy("token").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("df"))
+    else:
+        each = chunks.encoded(docs).select(F.inline(F.arrays_zip(F.col("term").alias("token"), "first_doc", "df")))
+        terms = each.groupBy("token").agg(F.min("first_doc").alias("first_doc"), F.sum("df").alias("df"))
     return number(terms, ["first_doc", "token"], "attr_id", 1).select("token", "attr_id", "df")
 
 
@@ -157,7 +155,7 @@ class Lexicon:
         multi = "fields" in docs.columns
         return cls(
             term_table(docs), label_table(docs) if "label" in docs.columns else None, field_table(docs) if multi else None,
-            docs.count(), Scheme.parse(scheme), **settings,
+            docs.count() if multi else chunks.encoded(docs).agg(F.sum(F.size("doc_id"))).first()[0] or 0, Scheme.parse(scheme), **settings,
         )
 
     def with_field_scheme(self, field: str, scheme: str | Scheme) -> Lexicon:

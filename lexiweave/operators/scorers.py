@@ -6,37 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions.session import kept
+from lexiweave.operators import chunks
+from lexiweave.operators.lexicon import Lexicon
+from lexiweave.operators.weighting import in_chunks, vectors
 
 
-def contingency(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def contingency(vectors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """attr_id, label, total: weights summed by cell, with the marginals (label null), (attr_id null) and both null.
 
-    vectors: doc_id, attr_id, value; labels: doc_id, label.
+    vectors: doc_id, attr_id, value; labels: doc_id, label. Without labels, what is given is a table of summed(), here and
+    below.
     """
-    return vectors.join(labels, "doc_id").filter("value <> 0").cube("attr_id", "label").agg(F.sum("value").alias("total"))
+    return (vectors if labels is None else _summed(vectors, labels)).cube("attr_id", "label").agg(F.sum("o").alias("total"))
 
 
-def cells(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def summed(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """attr_id, label, o: the non-zero weights of labelled documents, summed by cell."""
+    if in_chunks(docs):
+        return chunks.cells(docs, lexicon.terms, lexicon.scheme.value, lexicon.doc_num, lexicon.normalize)
+    return _summed(vectors(docs, lexicon), docs.select("doc_id", "label"))
+
+
+def _summed(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    return vectors.join(labels, "doc_id").filter("value <> 0").groupBy("attr_id", "label").agg(F.sum("value").alias("o"))
+
+
+def cells(vectors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """attr_id, label, o, ta, tc, t: every non-zero cell with its row, column and grand totals. The cells are written, so
     that vectors are read once."""
-    o = kept(vectors.join(labels, "doc_id").filter("value <> 0").groupBy("attr_id", "label").agg(F.sum("value").alias("o")), "cells")
+    o = kept(vectors if labels is None else _summed(vectors, labels), "cells")
     rows = Window.partitionBy("attr_id")
     column = o.groupBy("label").agg(F.sum("o").alias("tc"))
     grand = column.agg(F.sum("tc").alias("t"))
     return o.withColumn("ta", F.sum("o").over(rows)).join(F.broadcast(column), "label").crossJoin(F.broadcast(grand))
 
 
-def cell_scores(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def cell_scores(vectors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """attr_id, label, score: each cell's signed share of the log-likelihood ratio, usable as a weight for the label."""
     return cells(vectors, labels).select("attr_id", "label", (2 * F.col("o") * F.log(F.col("o") / (F.col("ta") * F.col("tc") / F.col("t")))).alias("score"))
 
 
-def log_likelihood(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def log_likelihood(vectors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """attr_id, score: the log-likelihood ratio of every attribute with a non-zero weight."""
     return cell_scores(vectors, labels).groupBy("attr_id").agg(F.sum("score").alias("score"))
 
 
-def chi_square(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def chi_square(vectors: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """attr_id, score: the 2 x 2 statistic of the attribute against each label, summed over labels."""
     c = cells(vectors, labels)
     column = c.select("label", "tc").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import Scheme
+from lexiweave.operators import chunks
 from lexiweave.operators.lexicon import Lexicon, counts_and_totals, field_counts
 
 
@@ -46,9 +47,17 @@ def vectors(docs: DataFrame, lexicon: Lexicon, scheme: str | Scheme | None = Non
 
     Multi-field documents take their schemes from the lexicon alone; l2 is the lexicon's `normalize` if not given.
     """
+    l2 = lexicon.normalize if l2 is None else l2
+    if in_chunks(docs):
+        return chunks.vectors(docs, lexicon.terms, Scheme.parse(scheme or lexicon.scheme).value, lexicon.doc_num, l2)
     out = field_weighted(field_counts(docs), lexicon) if "fields" in docs.columns else weighted(counts_and_totals(docs), lexicon, scheme)
     out = out.select("doc_id", "attr_id", "value")
-    return l2_normalized(out) if (lexicon.normalize if l2 is None else l2) else out
+    return l2_normalized(out) if l2 else out
+
+
+def in_chunks(docs: DataFrame) -> bool:
+    """Whether documents are worked on in chunks: flat ones that are no stream."""
+    return "fields" not in docs.columns and not docs.isStreaming
 
 
 def l2_normalized(vectors: DataFrame) -> DataFrame:

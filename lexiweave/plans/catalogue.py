@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lexiweave.functions.session import kept, spread
 from lexiweave.functions.stemmer import stem_terms
 from lexiweave.functions.text import Scheme, sigmoid, tokenize
-from lexiweave.operators import corpus, evaluate, models, scorers
+from lexiweave.operators import chunks, corpus, evaluate, models, scorers
 from lexiweave.operators import lexicon as lx
 from lexiweave.operators import weighting as wt
 from lexiweave.sources import corpus as src
@@ -22,7 +23,7 @@ BEST = 2000
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select("doc_id", F.col("lang").alias("label"), tokenize(F.col("text")).alias("tokens"))
+    return chunks.of_texts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select("doc_id", F.col("lang").alias("label"), F.col("text").cast("string").alias("text")))
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,32 +50,32 @@ def _fields(spark, sf_dir, own=()):
 def _scored(spark, sf_dir, scheme=Scheme.FREQUENCY):
     docs = _documents(spark, sf_dir)
     lexicon = lx.Lexicon.fit(docs, scheme)
-    return docs, lexicon, kept(wt.vectors(docs, lexicon), "vectors"), docs.select("doc_id", "label")
+    return docs, lexicon, scorers.summed(docs, lexicon)
 
 
 def _scores(spark, sf_dir, scorer, scheme=Scheme.FREQUENCY):
-    _, _, v, labels = _scored(spark, sf_dir, scheme)
-    return scorer(v, labels).select("attr_id", F.round("score", 6).alias("score"))
+    return scorer(_scored(spark, sf_dir, scheme)[2]).select("attr_id", F.round("score", 6).alias("score"))
 
 
 def _selected(spark, sf_dir, n):
-    docs, lexicon, v, labels = _scored(spark, sf_dir)
-    return docs, lexicon, scorers.select_best(lexicon.terms, scorers.log_likelihood(v, labels), n, digits=6)
+    docs, lexicon, cells = _scored(spark, sf_dir)
+    return docs, lexicon, scorers.select_best(lexicon.terms, scorers.log_likelihood(cells), n, digits=6)
 
 
 def _lines(spark, sf_dir, format, n=None, scheme="occurrences"):
     if n:
         docs, lexicon, best = _selected(spark, sf_dir, n)
         lexicon = lexicon.restricted(best).compacted()
+        lexicon = replace(lexicon, terms=kept(lexicon.terms, "terms"))
     else:
         docs = _documents(spark, sf_dir)
         lexicon = lx.Lexicon.fit(docs)
-    return src.vector_lines(wt.vectors(docs, lexicon, scheme), docs, lexicon, format)
+    return src.document_lines(docs, lexicon, scheme, format)
 
 
 def _judged(spark, sf_dir):
-    docs, lexicon, v, labels = _scored(spark, sf_dir)
-    return docs, lexicon, kept(evaluate.document_scores(v, scorers.cell_scores(v, labels)), "judged")
+    docs, lexicon, cells = _scored(spark, sf_dir)
+    return docs, lexicon, kept(evaluate.judged(docs, lexicon, scorers.cell_scores(cells)), "judged")
 
 
 def _predicted(spark, sf_dir):
@@ -105,13 +106,13 @@ def _pruned(spark, sf_dir, literal):
 def _closed(spark, sf_dir):
     """A lexicon of documents, applied to pages."""
     fitted = lx.Lexicon.fit(_documents(spark, sf_dir), "tfidf")
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").select(F.col("page_id").alias("doc_id"), tokenize(F.col("html")).alias("tokens"))
-    return wt.vectors(pages, fitted).select("doc_id", "attr_id", F.round("value", 6).alias("value"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").select(F.col("page_id").alias("doc_id"), F.col("html").cast("string").alias("text"))
+    return wt.vectors(chunks.of_texts(pages), fitted).select("doc_id", "attr_id", F.round("value", 6).alias("value"))
 
 
 def _top(spark, sf_dir):
-    _, lexicon, v, labels = _scored(spark, sf_dir)
-    cells = scorers.cell_scores(v, labels).select("attr_id", "label", F.round("score", 6).alias("score"))
+    _, lexicon, o = _scored(spark, sf_dir)
+    cells = scorers.cell_scores(o).select("attr_id", "label", F.round("score", 6).alias("score"))
     return scorers.top_per_label(cells, 20).join(lexicon.terms.select("attr_id", "token"), "attr_id").select("label", "rank", "token", "score")
 
 
@@ -188,8 +189,8 @@ def _revectorized(spark, sf_dir):
 
 
 def _dump(spark, sf_dir):
-    _, lexicon, v, labels = _scored(spark, sf_dir)
-    return scorers.log_likelihood(v, labels).join(lexicon.terms, "attr_id").select("token", F.round("score", 6).alias("score"))
+    _, lexicon, cells = _scored(spark, sf_dir)
+    return scorers.log_likelihood(cells).join(lexicon.terms, "attr_id").select("token", F.round("score", 6).alias("score"))
 
 
 def _wrong(spark, sf_dir):
@@ -222,7 +223,7 @@ _Q = {
     "pruned_vectors": partial(_pruned, literal=False),
     "pruned_vectors_compat": partial(_pruned, literal=True),
     "classify_time_vectors": _closed,
-    "contingency_matrix": lambda s, d: scorers.contingency(*_scored(s, d)[2:]).select("attr_id", "label", F.round("total", 6).alias("total")),
+    "contingency_matrix": lambda s, d: scorers.contingency(_scored(s, d)[2]).select("attr_id", "label", F.round("total", 6).alias("total")),
     "llr_scores": partial(_scores, scorer=scorers.log_likelihood),
     "llr_scores_tfidf": partial(_scores, scorer=scorers.log_likelihood, scheme="tfidf"),
     "chi_square_scores": partial(_scores, scorer=scorers.chi_square, scheme="occurrences"),
@@ -230,7 +231,7 @@ _Q = {
     "vectors_svmlight": partial(_lines, format="svmlight"),
     "vectors_arff_rows": partial(_lines, format="ARFF", n=TOP),
     "vectors_uci_dense": partial(_lines, format="UCI", n=DENSE, scheme="boolean"),
-    "raw_serialize_simple": lambda s, d: src.simple_lines(_documents(s, d), lx.Lexicon.fit(_documents(s, d))),
+    "raw_serialize_simple": lambda s, d: (lambda docs: src.simple_lines(docs, lx.Lexicon.fit(docs)))(_documents(s, d)),
     "raw_serialize_multifield": _multi_lines,
     "raw_roundtrip": _roundtrip,
     "filter_fields": lambda s, d: lx.field_counts(corpus.filter_fields(_conversations(s, d), ["user"])),

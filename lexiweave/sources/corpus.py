@@ -6,16 +6,21 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lexiweave.functions.session import kept
 from lexiweave.functions.text import Scheme, normalize_label
-from lexiweave.operators import scorers
-from lexiweave.operators.lexicon import Lexicon, counts_and_totals, field_counts, field_totals, token_totals
+from lexiweave.operators import chunks, scorers
+from lexiweave.operators.lexicon import Lexicon, compact, field_counts, field_totals
 from lexiweave.operators.weighting import weight
 
 _FEATURES = "array<struct<attr_id:int,occ:bigint,field_id:int>>"
@@ -26,17 +31,32 @@ def labelled(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     if lexicon.labels is None or "label" not in docs.columns:
         return docs.select("doc_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("label_id"))
     named = docs.select("doc_id", normalize_label(F.col("label")).alias("label"))
-    return named.join(lexicon.labels, "label", "left").select("doc_id", "label", "label_id")
+    return _identified(named, lexicon).select("doc_id", "label", "label_id")
+
+
+def _identified(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Rows with a normalised label, with its id. Labels are few beside documents, and some have most of them: they are
+    sent to every executor, where a shuffle would bring all documents of a label to one task."""
+    return rows.join(F.broadcast(lexicon.labels), "label", "left")
+
+
+def packed(docs: DataFrame, lexicon: Lexicon, scheme: str | None = None) -> DataFrame:
+    """label, label_id and what chunks.features() has of each document."""
+    return _named(chunks.features(docs, lexicon.terms, Scheme.parse(scheme or lexicon.scheme).value, lexicon.doc_num, lexicon.normalize), docs, lexicon)
+
+
+def _named(rows: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    if lexicon.labels is None or "label" not in docs.columns:
+        return rows.withColumns({"label": F.lit(None).cast("string"), "label_id": F.lit(None).cast("int")})
+    return _identified(rows.withColumn("label", normalize_label(F.col("label"))), lexicon)
 
 
 def simple_lines(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, line: kind, label id (0 if there is none), token total, then id:occurrences by id, set apart by tabs."""
-    known = counts_and_totals(docs).join(lexicon.terms, "token")
-    features = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("attr_id", "occ"))).alias("f"))
-    rows = token_totals(docs).join(labelled(docs, lexicon), "doc_id").join(features, "doc_id", "left")
-    parts = F.transform(F.coalesce("f", F.array().cast("array<struct<attr_id:int,occ:bigint>>")), lambda x: F.concat_ws(":", x["attr_id"], x["occ"]))
+    """doc_id, line: kind, label id (0 if there is none), token total, then id:occurrences by id, set apart by tabs. A row
+    of docs is a document."""
+    rows = _named(chunks.rendered(docs, lexicon.terms, ":", "\t"), docs, lexicon)
     total = F.col("n_tokens").cast("double").cast("string")
-    return rows.select("doc_id", F.concat_ws("\t", F.lit("SimpleDocument"), F.coalesce("label_id", F.lit(0)).cast("string"), total, parts).alias("line"))
+    return rows.select("doc_id", F.concat_ws("\t", F.lit("SimpleDocument"), F.coalesce("label_id", F.lit(0)).cast("string"), total, "parts").alias("line"))
 
 
 def multifield_lines(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
@@ -59,21 +79,66 @@ def multifield_lines(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None =
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """The columns of `lines` but line, with kind, label_id, totals array<double>, features array<struct<attr_id, occ,
-    field_id>>. Lines of another kind, of fewer than four parts, or with a part that is no number are left out."""
+    field_id>>. Lines of another kind, of fewer than four parts, or with a part that is no number are left out.
+
+    Plain lines of flat documents are parsed in arrays; all others, as expressions, by _parsed().
+    """
+    others = [c for c in lines.columns if c != "line"]
+    given = lines.select(*others, "line")
+    schema = StructType([*[StructField(f.name, f.dataType) for f in given.schema], *StructType.fromDDL(f"_label int, _total double, _features {_FEATURES}").fields])
+    rows = given.mapInArrow(_plain, schema)
+    return _parsed(rows, others)
+
+
+#: A flat document as it is written; what has more digits may be no number of its type.
+_PLAIN = r"^SimpleDocument\t[0-9]{1,9}\t[0-9]{1,9}\.[0-9](\t[0-9]{1,9}:[0-9]{1,9})+$"
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the label, total and features of plain lines, which go; other lines stay, with nulls."""
+    kind = pa.list_(pa.struct([("attr_id", pa.int32()), ("occ", pa.int64()), ("field_id", pa.int32())]))
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1000):
+            b = whole.slice(i, 1000)
+            line = b.column(b.num_columns - 1)
+            plain = pc.fill_null(pc.match_substring_regex(line, _PLAIN), False)
+            found = line.filter(plain)
+            n = pc.count_substring(found, ":").to_numpy(zero_copy_only=False).astype(np.int64)
+            numbers = pc.list_flatten(pc.split_pattern_regex(found, "[\t:]"))
+            begin = 3 + 2 * n
+            ends = np.cumsum(begin)
+            at = np.ones(len(numbers), bool)
+            head = ends - begin
+            at[head] = at[head + 1] = at[head + 2] = False
+            pairs = numbers.filter(pa.array(at)).cast(pa.int64())
+            pairs = pairs.to_numpy(zero_copy_only=False).reshape(-1, 2)
+            flat = pa.StructArray.from_arrays([pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(pairs), pa.int32())], names=["attr_id", "occ", "field_id"])
+            features = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), flat)
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            place = pa.array(np.where(is_plain, np.cumsum(is_plain) - 1, 0), mask=~is_plain)
+            new = [numbers.take(pa.array(head + 1)).cast(pa.int32()), numbers.take(pa.array(head + 2)).cast(pa.float64()), features.cast(kind)]
+            rest = line.take(pa.array(np.arange(b.num_rows), mask=is_plain))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], rest, *[x.take(place) for x in new]], names=[*b.schema.names, "_label", "_total", "_features"])
+
+
+def _parsed(rows: DataFrame, others: list[str]) -> DataFrame:
     p = F.split("line", "\t")
+    plain = F.col("_features").isNotNull()
     simple = p[0] == "SimpleDocument"
     fields = F.when(simple, 1).otherwise(F.expr("try_cast(split(line, '\t')[2] as int)"))
     first = F.when(simple, 2).otherwise(3)
-    rows = lines.withColumns({"_p": p, "_n": fields, "_first": first}).filter(F.col("_p")[0].isin("SimpleDocument", "MultiFieldDocument") & (F.size("_p") >= 4) & (F.col("_n") >= 0))
-    rows = rows.filter(F.size("_p") >= F.col("_first") + F.col("_n"))
+    rows = rows.withColumns({"_p": p, "_n": fields, "_first": first})
+    rows = rows.filter(plain | (F.col("_p")[0].isin("SimpleDocument", "MultiFieldDocument") & (F.size("_p") >= 4) & (F.col("_n") >= 0)))
+    rows = rows.filter(plain | (F.size("_p") >= F.col("_first") + F.col("_n")))
+    odd = lambda plainly, otherwise: F.when(plain, plainly).otherwise(F.expr(otherwise))
     parsed = rows.select(
-        *[c for c in lines.columns if c != "line"], F.col("_p")[0].alias("kind"), F.expr("try_cast(_p[1] as int)").alias("label_id"),
-        F.expr("transform(slice(_p, _first + 1, _n), x -> try_cast(x as double))").alias("totals"),
-        F.expr(f"""cast(transform(slice(_p, _first + _n + 1, size(_p)), x -> struct(try_cast(get(split(x, ':'), 0) as int) as attr_id,
-            try_cast(get(split(x, ':'), 1) as bigint) as occ, try_cast(get(split(x, ':'), 2) as int) as field_id)) as {_FEATURES})""").alias("features"),
+        *others, odd(F.lit("SimpleDocument"), "_p[0]").alias("kind"), odd(F.col("_label"), "try_cast(_p[1] as int)").alias("label_id"),
+        odd(F.array("_total"), "transform(slice(_p, _first + 1, _n), x -> try_cast(x as double))").alias("totals"),
+        odd(F.col("_features"), f"""cast(transform(slice(_p, _first + _n + 1, size(_p)), x -> struct(try_cast(get(split(x, ':'), 0) as int) as attr_id,
+            try_cast(get(split(x, ':'), 1) as bigint) as occ, try_cast(get(split(x, ':'), 2) as int) as field_id)) as {_FEATURES})""").alias("features"), plain.alias("_plain"),
     )
     whole = "label_id is not null and not exists(totals, x -> x is null) and not exists(features, x -> x.attr_id is null or x.occ is null)"
-    return parsed.filter(whole).filter("kind = 'SimpleDocument' or not exists(features, x -> x.field_id is null)")
+    return parsed.filter(f"_plain or ({whole})").filter("_plain or kind = 'SimpleDocument' or not exists(features, x -> x.field_id is null)").drop("_plain")
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -151,15 +216,26 @@ def _features(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("attr_id", "value"))).alias("f"))
 
 
+def _with_features(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    return rows.join(_features(vectors), "doc_id", "left").withColumn("f", F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")))
+
+
 def svmlight_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, line: label id, two blanks, id:value by id. Documents without features have none after the blanks."""
-    return _svmlight(labelled(docs, lexicon), vectors)
+    return _svmlight(_joined(_with_features(labelled(docs, lexicon), vectors), ":", " "))
 
 
-def _svmlight(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    rows = rows.join(_features(vectors), "doc_id", "left")
-    parts = F.transform(F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")), lambda x: F.concat_ws(":", x["attr_id"], x["value"]))
-    return rows.select("doc_id", F.concat(F.coalesce("label_id", F.lit(0)).cast("string"), F.lit("  "), F.array_join(parts, " ")).alias("line"))
+def _joined(rows: DataFrame, between: str, separator: str) -> DataFrame:
+    return rows.withColumn("parts", F.when(F.size("f") > 0, F.array_join(F.transform("f", lambda x: F.concat_ws(between, x["attr_id"], x["value"])), separator)))
+
+
+def packed_svmlight(rows: DataFrame) -> DataFrame:
+    """svmlight_lines() of rows with doc_id, label_id, f."""
+    return _svmlight(_joined(rows, ":", " "))
+
+
+def _svmlight(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.concat(F.coalesce("label_id", F.lit(0)).cast("string"), F.lit("  "), F.coalesce("parts", F.lit(""))).alias("line"))
 
 
 def arff_header(lexicon: Lexicon) -> DataFrame:
@@ -177,17 +253,21 @@ def arff_header(lexicon: Lexicon) -> DataFrame:
 
 def arff_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, line: a sparse row with the label in place 0."""
-    rows = labelled(docs, lexicon).join(_features(vectors), "doc_id", "left")
-    parts = F.transform(F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")), lambda x: F.concat_ws(" ", x["attr_id"], x["value"]))
-    first = F.array(F.concat(F.lit("0 "), F.col("label")))
-    return rows.select("doc_id", F.concat(F.lit("{"), F.array_join(F.concat(first, parts), ", "), F.lit("}")).alias("line"))
+    return _arff(_joined(_with_features(labelled(docs, lexicon), vectors), " ", ", "))
+
+
+def _arff(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.concat(F.lit("{"), F.concat_ws(", ", F.concat(F.lit("0 "), F.col("label")), "parts"), F.lit("}")).alias("line"))
 
 
 def uci_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, line: the label and the values of ids 1 to the largest, set apart by commas. The zeros between two
     features are one repeated string, so a line takes as long as it is."""
     n = lexicon.terms.agg(F.max("attr_id")).first()[0] or 0
-    rows = labelled(docs, lexicon).join(_features(vectors.filter(F.col("attr_id") <= n)), "doc_id", "left").withColumn("f", F.coalesce("f", F.array().cast("array<struct<attr_id:int,value:double>>")))
+    return _uci(_with_features(labelled(docs, lexicon), vectors.filter(F.col("attr_id") <= n)), n)
+
+
+def _uci(rows: DataFrame, n: int) -> DataFrame:
     before = lambda i: F.coalesce(F.get("f", i - 1)["attr_id"], F.lit(0))
     values = F.transform("f", lambda x, i: F.concat(F.repeat(F.lit(",0.0"), x["attr_id"] - before(i) - 1), F.lit(","), x["value"].cast("string")))
     rest = F.repeat(F.lit(",0.0"), F.lit(n) - F.when(F.size("f") > 0, F.element_at("f", -1)["attr_id"]).otherwise(0))
@@ -200,6 +280,19 @@ def vector_lines(vectors: DataFrame, docs: DataFrame, lexicon: Lexicon, format:
     return {"arff": arff_lines, "uci": uci_lines}.get(format.lower(), svmlight_lines)(vectors, docs, lexicon)
 
 
+def document_lines(docs: DataFrame, lexicon: Lexicon, scheme: str | None = None, format: str = "svmlight") -> DataFrame:
+    """vector_lines() of flat documents under a lexicon; a row of docs is a document."""
+    scheme, arff = Scheme.parse(scheme or lexicon.scheme).value, format.lower() == "arff"
+    if format.lower() == "uci":
+        return _uci(packed(docs, lexicon, scheme), lexicon.terms.agg(F.max("attr_id")).first()[0] or 0)
+    between, separator = (" ", ", ") if arff else (":", " ")
+    if scheme in ("boolean", "occurrences") and not lexicon.normalize:
+        rows = _named(chunks.rendered(docs, lexicon.terms, between, separator, scheme), docs, lexicon)
+    else:
+        rows = _joined(packed(docs, lexicon, scheme), between, separator)
+    return _arff(rows) if arff else _svmlight(rows)
+
+
 def read_svmlight(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
     """label, features (0-based sparse vectors) of a file in this format."""
     reader = spark.read.format("libsvm")
@@ -360,21 +453,22 @@ def revectorized(parsed: DataFrame, lexicon: Lexicon, options: Options) -> tuple
     """(doc_id, line of every parsed document; the lexicon as selected)."""
     lexicon = replace(lexicon, scheme=Scheme.parse(options.scheme))
     labels = lexicon.labels if lexicon.labels is not None else parsed.select(F.col("label_id").cast("string").alias("label"), "label_id").distinct()
-    known = parsed.select("doc_id", "label_id").join(labels, "label_id", "left")
     if options.top_n > 0:
-        scores = scorers.log_likelihood(raw_vectors(parsed, lexicon), known.select("doc_id", F.col("label_id").cast("string").alias("label")))
+        scores = scorers.log_likelihood(raw_vectors(parsed, lexicon), parsed.select("doc_id", F.col("label_id").cast("string").alias("label")))
         lexicon = lexicon.restricted(scorers.select_best(lexicon.terms, scores, options.top_n))
     else:
         lexicon = lexicon.pruned(options.min_df, options.max_df)
-    v = raw_vectors(parsed, lexicon)
+    ids = lexicon.terms.select("token", F.col("attr_id").alias("term"), "attr_id", "df")
     if options.compact:
-        new = lexicon.compacted()
-        ids = lexicon.terms.select("token", F.col("attr_id").alias("old_id")).join(new.terms.select("token", F.col("attr_id").alias("new_id")), "token")
-        v = v.join(ids.select(F.col("old_id").alias("attr_id"), "new_id"), "attr_id").select("doc_id", F.col("new_id").alias("attr_id"), "value")
-        lexicon = new
-    if options.format.lower() in ("arff", "uci"):
-        return vector_lines(v, known, replace(lexicon, labels=labels), options.format), lexicon
-    return _svmlight(known, v), lexicon
+        ids = kept(ids.drop("attr_id").join(compact(lexicon.terms).select("token", F.col("new_id").alias("attr_id")), "token"), "ids")
+        lexicon = replace(lexicon, terms=ids.select("token", "attr_id", "df"))
+    own = dict(lexicon.field_schemes)
+    fields = {r["field_id"]: own[r["field"]].value for r in lexicon.fields.filter(F.col("field").isin(list(own))).collect()} if lexicon.fields is not None and own else {}
+    rows = chunks.parsed_features(parsed, ids, lexicon.scheme.value, lexicon.scheme.value, fields, lexicon.doc_num)
+    rows = rows.join(F.broadcast(labels), "label_id", "left").withColumn("label", normalize_label(F.col("label")))
+    if options.format.lower() == "uci":
+        return _uci(rows, lexicon.terms.agg(F.max("attr_id")).first()[0] or 0), lexicon
+    return _arff(_joined(rows, " ", ", ")) if options.format.lower() == "arff" else packed_svmlight(rows), lexicon
 
 
 def revectorize(spark: SparkSession, raw: str, lexicon: str, options: Options) -> None:
