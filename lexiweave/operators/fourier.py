@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _U = np.uint64
+_PAIRS = "array<struct<attr_id:bigint,value:double>>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,19 +59,26 @@ def _arrays(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return flat.field(1).to_numpy(zero_copy_only=False), flat.field(0).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
 
 
+def fourier_map(rows: DataFrame, features: str, dims: int, gamma: float, seed: int = 7) -> DataFrame:
+    """rows with z array<double> instead of a column array<struct<attr_id, value>>."""
+    others = [c for c in rows.columns if c != features]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*others, F.coalesce(F.col(features).cast(_PAIRS), F.array().cast(_PAIRS))).mapInArrow(lambda it: _map(it, dims, gamma, seed), f"{schema}, z array<double>")
+
+
 def _map(batches: Iterator[pa.RecordBatch], dims: int, gamma: float, seed: int) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute  # noqa: F401  workers that only read batches lack it
 
     for whole in batches:
         for i in range(0, whole.num_rows, 1000):
             b = whole.slice(i, 1000)
-            z = mapped(*_arrays(b, 1), dims, gamma, seed)
+            z = mapped(*_arrays(b, b.num_columns - 1), dims, gamma, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * dims, pa.int32()), pa.array(z.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], "z"])
 
 
 def fourier_features(vectors: DataFrame, docs: DataFrame, dims: int, gamma: float, seed: int = 7) -> DataFrame:
     """doc_id, z array<double> of every document of docs; one without features has those of the zero vector."""
     rows = vectors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("attr_id").cast("bigint").alias("attr_id"), F.col("value").cast("double").alias("value")))).alias("f"))
     every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(rows.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id", "left")
-    return every.select("doc_id", F.coalesce("f", F.array().cast("array<struct<attr_id:bigint,value:double>>"))).mapInArrow(lambda it: _map(it, dims, gamma, seed), "doc_id bigint, z array<double>")
+    return fourier_map(every.select("doc_id", "f"), "f", dims, gamma, seed)
