@@ -16,6 +16,8 @@ from lexiweave.llm import _text as tx
 from lexiweave.llm._spark import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Tokens that are decoded at a time.
+DECODED = tx.SLICE // 4
 _NONE = np.iinfo(np.int32).max
 _WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024)
 _MULT = tx.U(0x9E3779B97F4A7C15)
@@ -285,14 +287,23 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     )
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some tokens each (one document at least): decoding takes a hundred bytes and more a token."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+    tx.release()
+
+
 def _decode(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
     odd = len(v.tokens)  # stands for ids without a token
     every = [*v.tokens, b"\xef\xbf\xbd"]
     data, width = np.frombuffer(b"".join(every), np.uint8), np.fromiter(map(len, every), np.int64, len(every))
     begin = np.cumsum(width) - width
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (s for whole in batches for s in _parts(whole)):
         col = b.column(1)
         flat, null = col.flatten(), col.is_null().to_numpy(zero_copy_only=False)
         n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
